@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordscope.llm import p1_copies
+from recordscope.llm import p1_copies, p3_versions
 from recordscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_distinct")
 def p1_distinct(spark: SparkSession, d: str) -> DataFrame:
     return p1_copies.p1_distinct(table(spark, d, "prompt_history"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_versions.p3_found(table(spark, d, "prompt_history"))
+
+
+@query("p3_group_sizes")
+def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p3_versions.p3_group_sizes(table(spark, d, "prompt_history"))
