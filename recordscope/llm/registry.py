@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordscope.llm import p1_copies, p3_versions
+from recordscope.llm import p1_copies, p2_cut, p3_versions
 from recordscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_group_sizes")
 def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p3_versions.p3_group_sizes(table(spark, d, "prompt_history"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_cut.p2_found(table(spark, d, "llm_calls"))
+
+
+@query("p2_rates")
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p2_cut.p2_rates(table(spark, d, "llm_calls"))
+
+
+@query("p2_limits")
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    return p2_cut.p2_limits(table(spark, d, "llm_calls"))
