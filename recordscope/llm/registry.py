@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordscope.llm import p1_copies, p2_cut, p3_versions
+from recordscope.llm import p1_copies, p2_cut, p3_versions, p4_splits, p5_pairs
 from recordscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,23 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_limits")
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
     return p2_cut.p2_limits(table(spark, d, "llm_calls"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_splits.p4_found(table(spark, d, "gold_documents"))
+
+
+@query("p4_report")
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return p4_splits.p4_report(table(spark, d, "gold_documents"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs.p5_found(table(spark, d, "llm_calls"), table(spark, d, "documents"))
+
+
+@query("p5_rates")
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs.p5_rates(table(spark, d, "llm_calls"), table(spark, d, "documents"))
