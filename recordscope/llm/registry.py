@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordscope.llm import p1_copies, p2_cut, p3_versions, p4_splits, p5_pairs
+from recordscope.llm import p1_copies, p2_cut, p3_versions, p4_splits, p5_pairs, p7_leaks, p8_mix, p9_lookalikes
 from recordscope.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_rates")
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return p5_pairs.p5_rates(table(spark, d, "llm_calls"), table(spark, d, "documents"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks.p7_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_items")
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks.p7_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p8_mix")
+def p8_mix_(spark: SparkSession, d: str) -> DataFrame:
+    return p8_mix.p8_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p8_mix.p8_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_lookalikes.p9_found(table(spark, d, "documents"))
+
+
+@query("p9_forms")
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    return p9_lookalikes.p9_forms(table(spark, d, "documents"))
