@@ -131,14 +131,12 @@ def link(items: DataFrame, *keep: str) -> DataFrame:
     level above; one ordered pass over a group finds the parent, and the intervals confirm it. The work is
     linear in the number of nodes; a group is one level of one record.
     """
-    me = F.struct("child_path", "post")
-    nothing = F.lit(None)
-    parents = items.select("doc_no", F.col("level").alias("up"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), me.alias("parent"), F.lit(False).alias("is_child"), nothing.cast("string").alias("child_path"), *(nothing.cast(items.schema[c].dataType).alias(c) for c in keep))
-    children = items.where("level > 1").select("doc_no", (F.col("level") - 1).alias("up"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), nothing.cast(parents.schema["parent"].dataType).alias("parent"), F.lit(True).alias("is_child"), "child_path", *keep)
-    before = Window.partitionBy("doc_no", "up").orderBy("_pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = parents.unionByName(children).withColumn("parent", F.last("parent", ignorenulls=True).over(before)).where(F.col("is_child") & (F.col("parent.post") > F.col("_post")))
-    top = items.where("level = 1").select("doc_no", F.lit("").alias("parent_path"), "child_path", *keep)
-    return top.unionByName(found.select("doc_no", F.col("parent.child_path").alias("parent_path"), "child_path", *keep))
+    # one pass over the nodes: each is once a possible parent (role false) and once a child (role true)
+    roles = items.withColumn("_child", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_up", F.when(F.col("_child"), F.col("level") - 1).otherwise(F.col("level")))
+    before = Window.partitionBy("doc_no", "_up").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.last(F.when(~F.col("_child"), F.struct("child_path", "post")), ignorenulls=True).over(before)
+    found = roles.withColumn("_parent", around).where(F.col("_child") & ((F.col("level") == 1) | (F.col("_parent.post") > F.col("post"))))
+    return found.select("doc_no", F.when(F.col("level") == 1, "").otherwise(F.col("_parent.child_path")).alias("parent_path"), "child_path", *keep)
 
 
 def p6_found(records: DataFrame, catalog: DataFrame) -> DataFrame:
