@@ -117,31 +117,46 @@ def items_of(text: Column) -> Column:
     return F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
-def dispatch(rows: DataFrame, metric: str, predicted: str, gold: str, tolerance: str | None = None) -> DataFrame:
+def prepared(metric: str, p: Column, g: Column, a: Column, b: Column, ratio: Column | None = None, limit: Column | None = None) -> Column:
+    """The metric's score from stripped texts p and g, their numbers a and b and, where it needs one, their ratio."""
+    if metric in CLOSE:
+        return _both(p, g, F.when(p == g, F.lit(1.0)).otherwise(ratio))
+    if metric == "string_exact":
+        return _both(p, g, p == g)
+    if metric == "string_case_insensitive":
+        return _both(p, g, F.lower(p) == F.lower(g))
+    if metric == "integer_exact":
+        x, y = (F.when(~F.isnan(n) & (F.abs(n) < F.lit(9.2e18)), n.try_cast("bigint")) for n in (a, b))
+        return _both(x, y, x == y)
+    if metric == "number_tolerance":
+        error = F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-9))
+        return _both(a, b, ~F.isnan(error) & (error <= (F.lit(TOLERANCE) if limit is None else limit)))
+    if metric == "number_exact":
+        return _both(a, b, (a == b) & ~F.isnan(a))
+    if metric == "boolean_exact":
+        return boolean_exact(p, g)
+    if metric == "array_llm":
+        return array_llm(items_of(p), items_of(g))
+    return F.lit(0.0)
+
+
+def dispatch(rows: DataFrame, metric: str, predicted: str, gold: str, tolerance: str | None = None, only: set[str] | None = None) -> DataFrame:
     """``rows`` with a column score: the metric that each row names, of its two text values; unknown metrics score 0.
 
     Coercions are columns of their own, so each is computed once a row, and the ratio only sees the rows that need it.
+    ``only`` names the metrics that can occur, where the caller knows them; without ratio metrics no Python runs.
     """
-    m, p, g = F.col(metric), F.col(predicted), F.col(gold)
-    near = m.isin(*CLOSE)
-    ready = rows.withColumns({"_p": strip(p), "_g": strip(g)}).withColumns({"_fp": to_float(F.col("_p")), "_fg": to_float(F.col("_g"))})
-    p, g, a, b = F.col("_p"), F.col("_g"), F.col("_fp"), F.col("_fg")
-    whole = [F.when(~F.isnan(x) & (F.abs(x) < F.lit(9.2e18)), x.try_cast("bigint")) for x in (a, b)]
-    error = F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-9))
-    limit = F.lit(TOLERANCE) if tolerance is None else F.coalesce(F.col(tolerance), F.lit(TOLERANCE))
-    needs = near & (p != g)
-    ready = ready.withColumn("_ratio", ratio_udf(F.when(needs, p), F.when(needs, g)))
-    told = (
-        F.when(m == "string_exact", _both(p, g, p == g))
-        .when(m == "string_case_insensitive", _both(p, g, F.lower(p) == F.lower(g)))
-        .when(near, _both(p, g, F.when(p == g, F.lit(1.0)).otherwise(F.col("_ratio"))))
-        .when(m == "integer_exact", _both(whole[0], whole[1], whole[0] == whole[1]))
-        .when(m == "number_tolerance", _both(a, b, ~F.isnan(error) & (error <= limit)))
-        .when(m == "number_exact", _both(a, b, (a == b) & ~F.isnan(a)))
-        .when(m == "boolean_exact", boolean_exact(p, g))
-        .when(m == "array_llm", array_llm(items_of(p), items_of(g)))
-        .otherwise(F.lit(0.0))
-    )
+    names = [n for n in METRICS if only is None or n in only]
+    m, p, g = F.col(metric), F.col("_p"), F.col("_g")
+    ready = rows.withColumns({"_p": strip(F.col(predicted)), "_g": strip(F.col(gold))}).withColumns({"_fp": to_float(p), "_fg": to_float(g)})
+    ratio = None
+    if any(n in CLOSE for n in names):
+        needs = m.isin(*CLOSE) & (p != g)
+        ready, ratio = ready.withColumn("_ratio", ratio_udf(F.when(needs, p), F.when(needs, g))), F.col("_ratio")
+    limit = None if tolerance is None else F.coalesce(F.col(tolerance), F.lit(TOLERANCE))
+    told = F.lit(0.0)
+    for n in names:
+        told = F.when(m == n, prepared(n, p, g, F.col("_fp"), F.col("_fg"), ratio, limit)).otherwise(told)
     return ready.withColumn("score", told).drop("_p", "_g", "_fp", "_fg", "_ratio")
 
 

@@ -2,69 +2,99 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from recordscope.functions.metrics import text_ratio
 
 ASSIGNED = "array<struct<pred_idx:int,gold_idx:int,sim:double>>"
 
 
-def solve(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least cost (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
+def solve(cost: list[list[float]]) -> list[int]:
+    """Column of each row in an assignment of least cost (rows <= columns), by shortest augmenting paths.
+
+    Arrays of a record are short, so plain lists are faster here than vectors.
+    """
+    n, m = len(cost), len(cost[0]) if cost else 0
+    # rows whose best columns all differ are assigned at once
+    best = [min(range(m), key=row.__getitem__) for row in cost]
+    if len(set(best)) == n:
+        return best
+    u, v, row_of = [0.0] * n, [0.0] * m, [-1] * m
+    col_of = [-1] * n
     for row in range(n):
-        least, came = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, bool)
-        i, delta, path = row, 0.0, []
+        least, came, open_cols = [float("inf")] * m, [-1] * m, list(range(m))
+        done: list[int] = []
+        i, delta = row, 0.0
         while True:
-            step = delta + cost[i] - u[i] - v
-            better = ~done & (step < least - 1e-15)
-            least[better], came[better] = step[better], i
-            j = int(np.argmin(np.where(done, np.inf, least)))
+            c, ui = cost[i], u[i]
+            j = -1
+            for k in open_cols:
+                step = delta + c[k] - ui - v[k]
+                if step < least[k]:
+                    least[k], came[k] = step, i
+                if j < 0 or least[k] < least[j]:
+                    j = k
             delta = least[j]
-            done[j] = True
-            path.append(j)
+            open_cols.remove(j)
             if row_of[j] < 0:
                 break
-            i = int(row_of[j])
+            done.append(j)
+            i = row_of[j]
         u[row] += delta
-        for k in path[:-1]:
+        for k in done:
             u[row_of[k]] += delta - least[k]
             v[k] -= delta - least[k]
-        while True:
-            i = int(came[j])
-            row_of[j], j = i, int(np.flatnonzero(row_of == i)[0]) if i != row else -1
+        while j >= 0:
+            i = came[j]
+            row_of[j], j, col_of[i] = i, col_of[i], j
             if i == row:
                 break
-    out = np.full(n, -1)
-    for j, i in enumerate(row_of):
-        if i >= 0:
-            out[i] = j
-    return out
-
-
-def align(n_pred: int, n_gold: int, sims: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """(pred, gold, similarity): all items of the shorter side matched for the greatest total, then the rest with -1."""
-    table = np.zeros((n_pred, n_gold))
-    for p, g, s in sims:
-        table[p, g] = s
-    if n_pred <= n_gold:
-        pairs = list(enumerate(solve(1.0 - table))) if n_pred else []
+    return col_of
+
+
+def align(n_pred: int, n_gold: int, sims: Sequence[Sequence[float]]) -> list[tuple[int, int, float]]:
+    """(pred, gold, similarity): all items of the shorter side matched for the greatest total, then the rest with -1.
+
+    ``sims`` has a row per gold item and a column per predicted item.
+    """
+    turned = n_pred > n_gold
+    if turned:
+        cost = [[1.0 - x for x in row] for row in sims]
     else:
-        pairs = sorted((int(p), g) for g, p in enumerate(solve(1.0 - table.T))) if n_gold else []
-    out = [(int(p), int(g), float(table[p, g])) for p, g in pairs]
+        cost = [[1.0 - sims[g][p] for g in range(n_gold)] for p in range(n_pred)]
+    pairs = [(c, r) if turned else (r, c) for r, c in enumerate(solve(cost))] if n_pred and n_gold else []
+    out = [(p, g, float(sims[g][p])) for p, g in sorted(pairs)]
     used_p, used_g = {p for p, _, _ in out}, {g for _, g, _ in out}
     return out + [(p, -1, 0.0) for p in range(n_pred) if p not in used_p] + [(-1, g, 0.0) for g in range(n_gold) if g not in used_g]
 
 
-@F.pandas_udf(ASSIGNED)
-def _assign(n_pred: pd.Series, n_gold: pd.Series, pred: pd.Series, gold: pd.Series, sim: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("pred_idx", "gold_idx", "sim"), x)) for x in align(int(n), int(m), list(zip(p, g, s)))] for n, m, p, g, s in zip(n_pred, n_gold, pred, gold, sim)])
+def _similar(base: Sequence[Sequence[float]], pred: Sequence[Sequence[str]], gold: Sequence[Sequence[str]], rules: int) -> list[list[float]]:
+    """Mean over the rules: the sums of ``base``, and the ratio of the texts for each rule that needs one."""
+    out = [[float(x) for x in row] for row in base]
+    for ps, gs in zip(pred, gold):
+        for g, row in zip(gs, out):
+            for i, p in enumerate(ps):
+                row[i] += 1.0 if p is None and g is None else 0.0 if p is None or g is None else text_ratio(p, g)
+    return [[x / rules for x in row] for row in out]
+
+
+def assigned(rows: DataFrame, rules: int) -> DataFrame:
+    """``rows`` with pairs (``ASSIGNED``) in place of its last five columns base, pred, gold, n and m.
+
+    ``base`` has, per gold and predicted item, the sum of the scores that need no Python; pred and gold have the texts of
+    the items for each rule that compares by ratio, n and m the numbers of predicted and gold items.
+    """
+    kind = pa.list_(pa.struct([("pred_idx", pa.int32()), ("gold_idx", pa.int32()), ("sim", pa.float64())]))
+    names = [f.name for f in rows.schema.fields[:-5]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-5]) + f", pairs {ASSIGNED}"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, pred, gold, n, m = (batch.column(c).to_pylist() for c in ("base", "pred", "gold", "n", "m"))
+            out = [[dict(zip(("pred_idx", "gold_idx", "sim"), x)) for x in align(i, j, _similar(b, p, g, rules))] for i, j, b, p, g in zip(n, m, base, pred, gold)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, kind)], [*names, "pairs"])
 
-def assigned(n_pred: Column, n_gold: Column, cells: Column) -> Column:
-    """The assignment of one record's array from its similarity cells, an array of (pred_idx, gold_idx, sim)."""
-    return _assign(n_pred, n_gold, cells["pred_idx"], cells["gold_idx"], cells["sim"])
+    return rows.mapInArrow(run, schema)

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordscope.functions import metrics
+from recordscope.functions.coerce import strip, to_float
 from recordscope.functions.text import leaf_count_udf, top_key
 from recordscope.operators.assign import assigned
-from recordscope.plans.schema_plan import Node
+from recordscope.plans.schema_plan import Node, Rule
 
 COLUMNS = ["doc_id", "field_key", "field_path", "metric_type", "score", "passed", "gold_value", "predicted_value"]
 
@@ -55,38 +56,47 @@ def _leaf(path: str, metric: str, params: dict, is_array: bool, key: Column, nam
     return F.struct(F.concat(key, F.lit(path)).alias("field_key"), F.lit(name).alias("field_path"), F.lit(metric).alias("metric_type"), tolerance.alias("_tolerance"), need.alias("_need"), member(F.col("gold"), path).alias("gold_value"), member(F.col("predicted"), path).alias("predicted_value"))
 
 
-def _similar(cells: DataFrame, node: Node) -> DataFrame:
-    """``cells`` (doc_id, key, pred_idx, gold_idx, predicted, gold) with sim: the mean of the item's rules.
-
-    Rules of nested lists count 1 each. Items without rules, and items that are no objects, are compared by ratio.
-    """
-    at = ["doc_id", "key", "pred_idx", "gold_idx"]
-    rules = node.item_paths()
-    if not rules or not node.members:
-        return metrics.dispatch(cells.select(*at, F.lit("string_fuzzy").alias("m"), "predicted", "gold"), "m", "predicted", "gold").select(*at, F.col("score").alias("sim"))
+def _item_rules(node: Node) -> tuple[list[tuple[str, Rule]], int]:
+    """The rules by which items are compared, and how many rules of nested lists count 1 each beside them."""
+    rules = node.item_paths() if node.members else []
     flat = [(path, r) for path, r in rules if "[]" not in path]
-    nested = len(rules) - len(flat)
-    if not flat:
-        return cells.select(*at, F.lit(1.0).alias("sim"))
-    rows = cells.select(*at, F.inline(F.array(*(_leaf(path, r.metric, dict(r.params), False, F.lit(""), path) for path, r in flat))))
-    scored = metrics.dispatch(rows, "metric_type", "predicted_value", "gold_value", "_tolerance")
-    return scored.groupBy(*at).agg(((F.sum("score") + F.lit(float(nested))) / F.lit(float(len(rules)))).alias("sim"))
+    return (flat, len(rules) - len(flat)) if rules else ([("", Rule("string_fuzzy"))], 0)
+
+
+def _ready(xs: Column, rules: list[tuple[str, Rule]]) -> Column:
+    """Each item as a struct of its stripped texts and numbers by rule, computed once an item and not once a pair."""
+    texts = F.transform(xs, lambda x: F.struct(*(strip(member(x, path)).alias(f"t{i}") for i, (path, _) in enumerate(rules))))
+    return F.transform(texts, lambda x: F.struct(*(x[f"t{i}"].alias(f"t{i}") for i in range(len(rules))), *(to_float(x[f"t{i}"]).alias(f"f{i}") for i in range(len(rules)))))
+
+
+def _base(rules: list[tuple[str, Rule]], nested: int) -> Column:
+    """Per gold and predicted item, the sum of the rules that need no Python; a nested list counts 1."""
+
+    def total(p: Column, g: Column) -> Column:
+        out = F.lit(float(nested))
+        for i, (_, r) in enumerate(rules):
+            if r.metric not in metrics.CLOSE:
+                limit = F.lit(float(dict(r.params).get("tolerance", metrics.TOLERANCE)))
+                out = out + metrics.prepared(r.metric, p[f"t{i}"], g[f"t{i}"], p[f"f{i}"], g[f"f{i}"], None, limit)
+        return out
+
+    return F.transform("rg", lambda g: F.transform("rp", lambda p: total(p, g)))
 
 
 def alignments(pairs: DataFrame, path: str, node: Node) -> DataFrame:
-    """(doc_id, key, gold_items, predicted_items, pairs) of one array: its items and their assignment.
+    """(doc_id, key, ps, gs, pairs) of one array: predicted and gold items and their assignment.
 
-    ``pairs`` has doc_id, key, predicted and gold. Records without items on either side are left out. All cells of
-    one record's array are gathered, so a task holds the array of a record, never more than one record at a time.
+    ``pairs`` has doc_id, key, predicted and gold. Records without items on either side are left out. A record's array
+    is compared inside its row, so nothing is shuffled and a task holds the array of one record at a time.
     """
+    rules, nested = _item_rules(node.items)
     both = pairs.select("doc_id", "key", items(F.col("predicted"), path).alias("ps"), items(F.col("gold"), path).alias("gs")).where("size(ps) + size(gs) > 0")
-    # one shuffle by record serves the cells, their similarities and the assignment
-    both = both.repartition("doc_id", "key")
-    cells = both.select("doc_id", "key", F.posexplode("gs").alias("gold_idx", "gold"), "ps").select("doc_id", "key", "gold_idx", "gold", F.posexplode("ps").alias("pred_idx", "predicted"))
-    sims = _similar(cells, node.items).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("pred_idx", "gold_idx", "sim"))).alias("cells"))
-    none = F.array().cast("array<struct<pred_idx:int,gold_idx:int,sim:double>>")
-    joined = both.join(sims, ["doc_id", "key"], "left")
-    return joined.select("doc_id", "key", "ps", "gs", assigned(F.size("ps"), F.size("gs"), F.coalesce("cells", none)).alias("pairs"))
+    ready = both.select("*", _ready(F.col("ps"), rules).alias("rp"), _ready(F.col("gs"), rules).alias("rg"))
+    close = [i for i, (_, r) in enumerate(rules) if r.metric in metrics.CLOSE]
+    texts = lambda c: F.array(*(F.transform(c, lambda x, i=i: x[f"t{i}"]) for i in close)).cast("array<array<string>>")
+    # the sizes refer to rp and rg once more, so that the optimizer doesn't move their making into the loops over pairs
+    ready = ready.select("doc_id", "key", "ps", "gs", _base(rules, nested).alias("base"), texts("rp").alias("pred"), texts("rg").alias("gold"), F.size("rp").alias("n"), F.size("rg").alias("m"))
+    return assigned(ready, len(rules) + nested)
 
 
 def _scored(pairs: DataFrame, node: Node, general: str) -> DataFrame:
@@ -96,7 +106,7 @@ def _scored(pairs: DataFrame, node: Node, general: str) -> DataFrame:
     out = None
     if scalars:
         rows = pairs.select("doc_id", "key", F.inline(F.array(*scalars)))
-        scored = metrics.dispatch(rows, "metric_type", "predicted_value", "gold_value", "_tolerance")
+        scored = metrics.dispatch(rows, "metric_type", "predicted_value", "gold_value", "_tolerance", {c.rule.metric for _, c in _scalars(node)})
         out = scored.withColumn("passed", F.col("score") >= F.col("_need")).select("doc_id", "key", *COLUMNS[1:])
     for path, child in _arrays(node):
         rows = _scored_array(pairs, path, child, f"{general}.{path}" if general else path)
@@ -112,7 +122,7 @@ def _scored_array(pairs: DataFrame, path: str, node: Node, general: str) -> Data
         rows = _scored(matched.select("doc_id", F.concat("item", F.lit(".")).alias("key"), "predicted", "gold"), node.items, f"{general}[]")
     else:
         texts = matched.select("doc_id", F.col("item").alias("key"), F.col("item").alias("field_key"), F.lit(f"{general}[]").alias("field_path"), F.lit("string_fuzzy").alias("metric_type"), F.col("gold").alias("gold_value"), F.col("predicted").alias("predicted_value"))
-        rows = metrics.dispatch(texts, "metric_type", "predicted_value", "gold_value").withColumn("passed", F.col("score") >= metrics.PASS_CLOSE).select("doc_id", "key", *COLUMNS[1:])
+        rows = metrics.dispatch(texts, "metric_type", "predicted_value", "gold_value", only={"string_fuzzy"}).withColumn("passed", F.col("score") >= metrics.PASS_CLOSE).select("doc_id", "key", *COLUMNS[1:])
     # the average: every score of the matched items, and 0 for every gold item without a partner
     lost = one.where("m.pred_idx < 0").select("doc_id", F.col("key").alias("outer"), F.lit(0.0).alias("score"))
     inside = rows.select("doc_id", F.regexp_extract("key", _outer(general), 1).alias("outer"), "score")
