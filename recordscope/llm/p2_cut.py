@@ -11,6 +11,7 @@ Three sources of evidence:
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ KNOWN_ENDS, KNOWN_ENDS_AT_SPIKE = 3, 6
 UNIT_CHARS, UNIT_WORDS = 80, 8
 
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff"
-EDGE = re.compile(rf"^[\s{INVISIBLE}]+|[\s{INVISIBLE}]+$")
+_EDGE = "".join(c for c in map(chr, range(0x10000)) if c.isspace() or re.match(f"[{INVISIBLE}]", c))
 TERMINAL = re.compile(r"[.!?。！？…؟।]$")
 CLOSERS = "\"'”’»«`*_)]}"
 ELLIPSIS = re.compile(r"(?:\.\.+|…|\[\s*(?:…|\.\.\.|truncated|cut|continued)\s*\]|\ufffd)$", re.I)
@@ -36,8 +37,17 @@ JSON_START = re.compile(r'\{(?=\s*(?:"|\}|$))|\[(?=\s*(?:["{\[\]\-\d]|$))')
 TAG = re.compile(r"^<([A-Za-z][\w.-]*)[^<>]*>")
 
 
+def trim(text: str) -> str:
+    """``text`` without blanks and invisible characters at its ends."""
+    return text.strip(_EDGE)
+
+
 def _balanced_end(text: str, at: int) -> int:
-    """Where the JSON value that opens at ``at`` ends, or -1 if it never does."""
+    """Where the JSON value that opens at ``at`` ends, or -1 if it never does. Values that are no JSON but balanced end too."""
+    try:
+        return json.JSONDecoder(strict=False).raw_decode(text, at)[1]
+    except (ValueError, RecursionError):
+        pass
     depth, quoted, i = 0, False, at
     for m in re.finditer(r'\\.|["{}\[\]]', text[at:], re.S):
         c = m[0]
@@ -57,7 +67,7 @@ def _balanced_end(text: str, at: int) -> int:
 
 def ending(text: str | None) -> tuple[str, str]:
     """(state, unit) of a value: 'empty', 'whole', 'cut', or 'line' with the last line that decides."""
-    s = EDGE.sub("", text or "")
+    s = trim(text or "")
     if not s:
         return "empty", ""
     s0 = s
@@ -66,10 +76,10 @@ def ending(text: str | None) -> tuple[str, str]:
         if s.count("```") % 2:
             return "cut", ""
         head, _, tail = s.rpartition("```")
-        tail = EDGE.sub("", tail)
+        tail = trim(tail)
         if not tail:
             body = head.rpartition("```")[2]
-            body = EDGE.sub("", re.sub(r"^[\w+-]*[^\S\n]*\n", "", body))
+            body = trim(re.sub(r"^[\w+-]*[^\S\n]*\n", "", body))
             if body[:1] in ("{", "[") and _balanced_end(body, 0) < 0:
                 return "cut", ""
             return "whole", ""
@@ -83,7 +93,7 @@ def ending(text: str | None) -> tuple[str, str]:
         at = s.rfind(close)
         if at < 0:
             return "cut", ""
-        s = EDGE.sub("", s[at + len(close) :])
+        s = trim(s[at + len(close) :])
         if not s:
             return "whole", ""
     elif s[0] == "<" and re.match(r"^</?[A-Za-z][\w.-]*$", s):
@@ -94,7 +104,7 @@ def ending(text: str | None) -> tuple[str, str]:
         end = _balanced_end(s, m.start())
         if end < 0:
             return "cut", ""
-        s = EDGE.sub("", s[end:])
+        s = trim(s[end:])
         if not s:
             return "whole", ""
     elif s[0] == '"' and s0 is s:
