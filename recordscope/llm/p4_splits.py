@@ -31,7 +31,8 @@ def leaf_entries(text: str | None) -> set[tuple[str, str]]:
     """
     value: object = text
     try:
-        while isinstance(value, str) and (value is text or value.lstrip()[:1] in ('"', "{", "[")):
+        # numbers are kept as text, so only what opens like a string, object or list is read again
+        while isinstance(value, str) and value.lstrip()[:1] in ('"', "{", "["):
             value = json.loads(value, strict=False, parse_int=str, parse_float=str, parse_constant=str)
     except (ValueError, RecursionError):
         return set()
