@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def prompt_hash(prompt: Column) -> Column:
@@ -17,7 +18,7 @@ def extraction_key(path: Column, prompt: Column) -> Column:
     return F.sha2(F.concat(path, F.lit("||"), prompt), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_json(metric: pd.Series, predicted: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([json.dumps({"g": g, "m": m, "p": p}, sort_keys=True) for m, p, g in zip(metric, predicted, gold)], dtype="object")
 

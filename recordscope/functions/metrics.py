@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from recordscope.functions.coerce import strip, to_bool, to_float, to_int
 
@@ -59,7 +60,7 @@ def text_ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_udf(p: pd.Series, g: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else text_ratio(a, b) for a, b in zip(p, g)], dtype="float64")
 

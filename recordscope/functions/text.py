@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from recordscope.functions.coerce import strip
 
@@ -79,7 +80,7 @@ def parse_lenient(text: str | None) -> str | None:
     return "{}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_lenient_udf(text: pd.Series) -> pd.Series:
     return text.map(parse_lenient)
 
@@ -90,7 +91,7 @@ def leaves(value: object, depth: int = 0) -> int:
     return sum(leaves(x, depth + 1) for x in inner) if inner and depth <= 20 else 1
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def leaf_count_udf(text: pd.Series) -> pd.Series:
     """Leaves of JSON text; 0 for text that is missing or broken."""
 

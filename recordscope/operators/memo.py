@@ -37,6 +37,6 @@ def judged(pairs: DataFrame, cache: DataFrame, judge: Callable[[DataFrame], Data
     """
     keyed = pairs.withColumn("key", metric_key(F.lit(metric), F.col("predicted"), F.col("gold")))
     missing = keyed.select("key", "predicted", "gold").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-    told = cut(judge(missing).select("key", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"), "reason").where("score is not null"))
+    told = cut(judge(missing).select("key", "score", "reason").where("score is not null").withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score"))))
     merged = cache.select("key", "score", "reason").unionByName(told)
     return keyed.join(merged, "key", "left").drop("key"), merged

@@ -93,7 +93,8 @@ def alignments(pairs: DataFrame, path: str, node: Node) -> DataFrame:
     both = pairs.select("doc_id", "key", items(F.col("predicted"), path).alias("ps"), items(F.col("gold"), path).alias("gs")).where("size(ps) + size(gs) > 0")
     ready = both.select("*", _ready(F.col("ps"), rules).alias("rp"), _ready(F.col("gs"), rules).alias("rg"))
     close = [i for i, (_, r) in enumerate(rules) if r.metric in metrics.CLOSE]
-    texts = lambda c: F.array(*(F.transform(c, lambda x, i=i: x[f"t{i}"]) for i in close)).cast("array<array<string>>")
+    text_of = lambda i: lambda x: x[f"t{i}"]
+    texts = lambda c: F.array(*(F.transform(c, text_of(i)) for i in close)).cast("array<array<string>>")
     # the sizes refer to rp and rg once more, so that the optimizer doesn't move their making into the loops over pairs
     ready = ready.select("doc_id", "key", "ps", "gs", _base(rules, nested).alias("base"), texts("rp").alias("pred"), texts("rg").alias("gold"), F.size("rp").alias("n"), F.size("rg").alias("m"))
     return assigned(ready, len(rules) + nested)

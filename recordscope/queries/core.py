@@ -387,7 +387,7 @@ def discover_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _SIZES = """
   select schema_name, n, n - v - t as n_train, v as n_val, t as n_test from (
-    select schema_name, n, greatest(1, round_even(n * 0.15::double, 0)::int) as v, greatest(1, round_even(n * 0.15::double, 0)::int) as t from (select schema_name, count(distinct doc_no) as n from gold_documents where doc_no is not null group by 1))"""
+    select schema_name, n, case when n < 3 then 0 else greatest(1, round_even(n * 0.15::double, 0)::int) end as v, v as t from (select schema_name, count(distinct doc_no) as n from gold_documents where doc_no is not null group by 1))"""
 
 
 @query("split_sizes", f"select schema_name, n, n_train::bigint as n_train, n_val::bigint as n_val, n_test::bigint as n_test from ({_SIZES})")
