@@ -15,8 +15,8 @@ def hot_keys(counts: DataFrame, key: str, count: str = "copies") -> DataFrame:
 
     ``counts`` has a row per key. The result has at most ``HOT_PARTS`` rows, whatever the input.
     """
-    total = counts.agg(F.sum(count).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col(count) * HOT_PARTS >= F.col("_total")).select(key)
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return counts.where(F.col(count) * HOT_PARTS >= F.lit(total)).select(key)
 
 
 def salted_join(rows: DataFrame, by_key: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:

@@ -307,8 +307,8 @@ def extract_prompt_tag(spark: SparkSession, d: str) -> DataFrame:
 
 @query("render_prompt", "select record_id, sha256(replace(prompt, '{schema}', schema_json)) as rendered, length(replace(prompt, '{schema}', schema_json)) as chars from prompt_history, schema_catalog where schema_name = 'sport/swimming' and prompt is not null")
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "schema_catalog").where("schema_name = 'sport/swimming'").select("schema_json")
-    done = table(spark, d, "prompt_history").where("prompt is not null").crossJoin(F.broadcast(schema)).select("record_id", text.render_prompt(F.col("prompt"), F.col("schema_json")).alias("r"))
+    schema = table(spark, d, "schema_catalog").where("schema_name = 'sport/swimming'").select("schema_json").first()[0]
+    done = table(spark, d, "prompt_history").where("prompt is not null").select("record_id", text.render_prompt(F.col("prompt"), F.lit(schema)).alias("r"))
     return done.select("record_id", F.sha2("r", 256).alias("rendered"), F.length("r").cast("bigint").alias("chars"))
 
 
