@@ -27,6 +27,8 @@ from recordscope.session import cut
 #: MinHash bands and rows of a band; similarity of verified openings; words of an opening that count.
 BANDS, ROWS, SIMILAR = 16, 3, 0.6
 OPENING_WORDS = 24
+#: A band that more openings than this share is compared in tiles of about so many openings.
+TILE_ROWS = 1024
 #: Prompts that must share a template, and the share of its openings that state a refusal.
 TEMPLATE_PROMPTS, REFUSAL_SHARE = 3, 0.5
 #: Words that a copy may add: lead-ins and single inserted words.
@@ -233,21 +235,70 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "opening"))).where("_n = 1").drop("_n", "_latest", "chars")
 
 
-def refusal_templates(rows: DataFrame) -> DataFrame:
-    """(opening_key, prompts, stated_share) of the openings of templates of refusal.
+def opening_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all openings which share a band and whose word sets are verified to be similar.
 
-    Equal openings are one node; a node is linked to the smallest node of each band if their word sets are
-    verified to be similar, so a large band gives no more links than it has nodes.
+    The first round compares each opening with the smallest one of each of its bands; the second compares, in tiles
+    of large bands, all that are not joined yet, and keeps one link of two components a tile.
     """
-    nodes = rows.where(F.size("bands") > 0).groupBy(F.xxhash64("opening").alias("opening_key")).agg(F.first("opening").alias("opening"), F.first("bands").alias("bands"), F.approx_count_distinct("prompt_key").alias("prompts"), F.count("*").alias("n"), F.sum(F.col("stated").cast("int")).alias("stated"))
-    nodes = cut(nodes)
     banded = nodes.select("opening_key", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min("opening_key").alias("leader"))
-    pairs = banded.join(leaders, ["band", "value"]).where("leader <> opening_key").select(F.col("leader").alias("a"), F.col("opening_key").alias("b")).distinct()
+    leaders = banded.groupBy("band", "value").agg(F.min("opening_key").alias("leader"), F.count("*").alias("members"))
+    led = banded.join(leaders, ["band", "value"])
+    pairs = led.where("leader <> opening_key").select(F.col("leader").alias("a"), F.col("opening_key").alias("b")).distinct()
     sides = nodes.select("opening_key", "opening")
     both = pairs.join(sides.toDF("a", "oa"), "a").join(sides.toDF("b", "ob"), "b")
-    links = both.where(F.size(F.array_intersect("oa", "ob")) >= SIMILAR * F.size(F.array_union("oa", "ob"))).select("a", "b")
-    roots = components(links)
+    stars = cut(both.where(F.size(F.array_intersect("oa", "ob")) >= SIMILAR * F.size(F.array_union("oa", "ob"))).select("a", "b"))
+    known = components(stars).select(F.col("node").alias("opening_key"), "root")
+    labelled = nodes.select("opening_key", F.transform("opening", lambda w: F.xxhash64(w)).alias("words")).join(known, "opening_key", "left").withColumn("comp", F.coalesce("root", "opening_key")).drop("root")
+    mixed = led.select("band", "value", "members", "opening_key").join(labelled.select("opening_key", "comp"), "opening_key")
+    open_bands = mixed.groupBy("band", "value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("band", "value")
+    chunks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
+    tiled = mixed.join(open_bands, ["band", "value"], "left_semi").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("opening_key"), F.col("chunks")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("tile", F.least("side", "other") * F.col("chunks") + F.greatest("side", "other"))
+    posted = tiled.select("band", "value", "tile", "opening_key", "comp").join(labelled.select("opening_key", "words"), "opening_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, found = None, [], []
+        for batch in batches:
+            for *key, node, comp, words in zip(*(batch.column(c).to_pylist() for c in ("band", "value", "tile", "opening_key", "comp", "words"))):
+                if key != group:
+                    found += _between(held)
+                    group, held = key, []
+                held.append((node, comp, words))
+            yield links(found)
+            found = []
+        yield links(_between(held))
+
+    def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return stars.unionByName(posted.repartition("band", "value", "tile").sortWithinPartitions("band", "value", "tile").mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _between(held: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
+    """One pair of similar (node, component, words) for each two components that have one."""
+    if len({comp for _, comp, _ in held}) < 2:
+        return []
+    ids: dict[int, int] = {}
+    has = np.zeros((len(held), len({w for *_, words in held for w in words})), np.float32)
+    for i, (*_, words) in enumerate(held):
+        has[i, [ids.setdefault(w, len(ids)) for w in words]] = 1
+    node, comp = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
+    size, found = has.sum(axis=1), {}
+    for lo in range(0, len(held), 512):
+        both = has[lo : lo + 512] @ has.T
+        near = (both >= SIMILAR * (size[lo : lo + 512, None] + size[None, :] - both).astype(np.float64)) & (comp[lo : lo + 512, None] < comp[None, :])
+        for i, j in zip(*np.nonzero(near)):
+            found[int(comp[lo + i]), int(comp[j])] = int(node[lo + i]), int(node[j])
+    return list(found.values())
+
+
+def refusal_templates(rows: DataFrame) -> DataFrame:
+    """(opening_key, prompts, stated_share) of the openings of templates of refusal. Equal openings are one node."""
+    nodes = rows.where(F.size("bands") > 0).groupBy(F.xxhash64("opening").alias("opening_key")).agg(F.first("opening").alias("opening"), F.first("bands").alias("bands"), F.approx_count_distinct("prompt_key").alias("prompts"), F.count("*").alias("n"), F.sum(F.col("stated").cast("int")).alias("stated"))
+    nodes = cut(nodes)
+    roots = components(opening_links(nodes))
     clusters = nodes.join(roots.select(F.col("node").alias("opening_key"), "root"), "opening_key", "left").withColumn("root", F.coalesce("root", "opening_key"))
     by_root = clusters.groupBy("root").agg(F.sum("prompts").alias("prompts"), (F.sum("stated") / F.sum("n")).alias("stated_share"))
     return clusters.select("opening_key", "root").join(by_root.where((F.col("prompts") >= TEMPLATE_PROMPTS) & (F.col("stated_share") >= REFUSAL_SHARE)), "root").select("opening_key", "prompts", "stated_share")

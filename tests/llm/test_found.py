@@ -198,6 +198,33 @@ def test_defects(spark):
     assert rows(p5_pairs.p5_found(empty, docs)) == [] and rows(p5_pairs.p5_rates(empty, docs.limit(0))) == []
 
 
+def test_opening_links_without_the_leader(spark):
+    """Openings of one band are linked to each other also where its smallest one is like none of them; tiles change nothing."""
+    words = [f"w{i}" for i in range(12)]
+    openings = {1: ["far", "off", "words"], 5: words[:10], 6: words[:9] + ["x"], 7: [f"v{i}" for i in range(9)], 8: [f"v{i}" for i in range(1, 10)]}
+    nodes = spark.createDataFrame([(k, o, [77]) for k, o in openings.items()], "opening_key bigint, opening array<string>, bands array<bigint>")
+    want = [(5, 6), (7, 8)]
+    assert rows(p5_pairs.opening_links(nodes)) == want
+
+
+def test_opening_links_in_tiles(spark, monkeypatch):
+    rng = random.Random(8)
+    openings = [[f"{k}w{i}" for i in range(10) if rng.random() < 0.9] + ["x"] for k in range(6) for _ in range(6)]
+    nodes = spark.createDataFrame([(k, sorted(o), [7]) for k, o in enumerate(openings)], "opening_key bigint, opening array<string>, bands array<bigint>")
+    near = [(a, b) for a, b in itertools.combinations(range(36), 2) if len(set(openings[a]) & set(openings[b])) >= 0.6 * len(set(openings[a]) | set(openings[b]))]
+
+    def joined(links):
+        root = list(range(36))
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for tile in (1024, 5):
+        monkeypatch.setattr(p5_pairs, "TILE_ROWS", tile)
+        assert joined([tuple(r) for r in p5_pairs.opening_links(nodes).collect()]) == joined(near)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 GOLD = "doc_no bigint, doc_id string, split string, source string, gold_data string"
