@@ -3,7 +3,9 @@
 Refusals are found by their templates: the opening of each response, with names, codes, numbers and quotes
 replaced by marks, is given MinHash values; openings that share a band and whose word sets are verified to be similar
 form clusters. A cluster whose openings come back after unrelated prompts is a template, and it
-is one of refusal if most of its openings state that the writer can't or won't answer. Empty, copied, cut and
+is one of refusal if most of its openings state that the writer can't or won't answer, or, whatever its wording, if it
+answers calls of several types alike, says little of what the prompts say and often lacks the form that answers of the
+call type have. Empty, copied, cut and
 wrong-language answers are told by checks of each pair.
 """
 
@@ -31,12 +33,17 @@ OPENING_WORDS = 24
 TILE_ROWS = 1024
 #: Prompts that must share a template, and the share of its openings that state a refusal.
 TEMPLATE_PROMPTS, REFUSAL_SHARE = 3, 0.5
+#: A form of at least USUAL of the answers of a call type is its usual one. A template is one of refusal without any phrase if
+#: it answers several call types, at least OFF_FORM of its answers lack the usual form, and at most ECHO of their words are the prompt's.
+USUAL, OFF_FORM, ECHO = 0.8, 0.2, 0.25
 #: Words that a copy may add: lead-ins and single inserted words.
 COPY_EXTRA = 6
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 NOTHING = re.compile(rf"```[\w+-]*|<[^<>]*>|\bnull\b|[\s{INVISIBLE}\"'“”„«»‘’`{{}}\[\](),:;]+", re.I)
 
+SCORE = re.compile(r"\W*\d")
+
 _FENCE, _TAGS, _PART = re.compile(r"```[\w+-]*"), re.compile(r"<[^<>]*>"), re.compile(r"[^\s.!?]+|[.!?]+")
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”')
 _OUTER = re.compile(r"^\W+|\W+$")
@@ -187,6 +194,17 @@ def answer_text(call_type: str | None, answer: str) -> str:
     return _TAGS.sub(" ", s) if "<" in s else s
 
 
+def answer_form(answer: str) -> str:
+    """Whether an answer has a JSON value, begins with a number or is text."""
+    return "record" if JSON_START.search(answer) else "score" if SCORE.match(answer) else "text"
+
+
+def echo(prompt: str | None, answer: str) -> float:
+    """The share of the answer's longer words that the prompt has too."""
+    said = {w for w in words(answer) if len(w) > 3}
+    return len(said & set(words(prompt or ""))) / max(1, len(said))
+
+
 def asked_language(prompt: str, language) -> str | None:
     for g, pattern in ASKED.items():
         if pattern.search(prompt):
@@ -202,11 +220,12 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = guess(shared.value)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(9)]
             for kind, prompt, answer in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))):
                 empty, copy = is_empty(answer), is_copy(prompt, answer)
-                opening, stated, wrong = [], False, False
+                opening, stated, wrong, form, said = [], False, False, None, None
                 if not empty:
+                    form, said = answer_form(answer), echo(prompt, answer)
                     text = refusal_text(answer)
                     if text:
                         opening = masked(text)
@@ -223,15 +242,15 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
                     with np.errstate(over="ignore"):
                         low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1).reshape(BANDS, ROWS)
                     bands = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(low)]
-                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands)):
+                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said)):
                     col.append(x)
-            types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64())]
-            names = ["empty", "copy", "wrong", "stated", "opening", "bands"]
+            types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64()]
+            names = ["empty", "copy", "wrong", "stated", "opening", "bands", "kind", "form", "echo"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(c, t) for c, t in zip(cols, types))], [*batch.schema.names[:-3], *names])
 
     source = calls.select(F.col("call_id").cast("bigint"), F.col("success").cast("boolean").alias("success"), F.col("ingested_at").alias("_latest"), F.length("output").alias("chars"), F.xxhash64(F.coalesce("input_prompt", F.lit(""))).alias("prompt_key"), F.col("call_type").cast("string").alias("_k"), F.col("input_prompt").cast("string").alias("_p"), F.col("output").cast("string").alias("_o"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-3])
-    rows = source.where("call_id is not null").mapInArrow(run, f"{fields}, empty boolean, copy boolean, wrong boolean, stated boolean, opening array<string>, bands array<bigint>")
+    rows = source.where("call_id is not null").mapInArrow(run, f"{fields}, empty boolean, copy boolean, wrong boolean, stated boolean, opening array<string>, bands array<bigint>, kind string, form string, echo double")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "opening"))).where("_n = 1").drop("_n", "_latest", "chars")
 
 
@@ -295,13 +314,27 @@ def _between(held: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
 
 
 def refusal_templates(rows: DataFrame) -> DataFrame:
-    """(opening_key, prompts, stated_share) of the openings of templates of refusal. Equal openings are one node."""
-    nodes = rows.where(F.size("bands") > 0).groupBy(F.xxhash64("opening").alias("opening_key")).agg(F.first("opening").alias("opening"), F.first("bands").alias("bands"), F.approx_count_distinct("prompt_key").alias("prompts"), F.count("*").alias("n"), F.sum(F.col("stated").cast("int")).alias("stated"))
-    nodes = cut(nodes)
+    """(opening_key, prompts, stated_share) of the openings of templates of refusal. Equal openings are one node.
+
+    Prompts are counted exactly over each cluster. Copies of the prompt are no evidence of a refusal.
+    """
+    keyed = rows.where(F.size("bands") > 0).withColumn("opening_key", F.xxhash64("opening"))
+    nodes = cut(keyed.groupBy("opening_key").agg(F.first("opening").alias("opening"), F.first("bands").alias("bands")))
     roots = components(opening_links(nodes))
-    clusters = nodes.join(roots.select(F.col("node").alias("opening_key"), "root"), "opening_key", "left").withColumn("root", F.coalesce("root", "opening_key"))
-    by_root = clusters.groupBy("root").agg(F.sum("prompts").alias("prompts"), (F.sum("stated") / F.sum("n")).alias("stated_share"))
-    return clusters.select("opening_key", "root").join(by_root.where((F.col("prompts") >= TEMPLATE_PROMPTS) & (F.col("stated_share") >= REFUSAL_SHARE)), "root").select("opening_key", "prompts", "stated_share")
+    clusters = nodes.select("opening_key").join(roots.select(F.col("node").alias("opening_key"), "root"), "opening_key", "left").withColumn("root", F.coalesce("root", "opening_key"))
+    forms = rows.where("form is not null").groupBy("kind", "form").agg(F.count("*").alias("n"))
+    usual = forms.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("kind"))).where(F.col("share") >= USUAL).select("kind", F.col("form").alias("usual"))
+    members = keyed.select("opening_key", "prompt_key", "stated", "copy", "kind", "form", "echo").join(usual, "kind", "left").join(clusters, "opening_key")
+    own = lambda c: F.when(~F.col("copy"), c)
+    share = lambda c: F.coalesce(F.avg(own(c)), F.lit(0.0))
+    by_root = members.groupBy("root").agg(
+        F.countDistinct("prompt_key").alias("prompts"), F.avg(F.col("stated").cast("int")).alias("stated_share"),
+        F.countDistinct(own(F.col("prompt_key"))).alias("own_prompts"), F.countDistinct(own(F.col("kind"))).alias("kinds"),
+        share(F.coalesce(F.col("form") != F.col("usual"), F.lit(False)).cast("int")).alias("off_form"), F.avg(own(F.col("echo"))).alias("echo"),
+    )
+    stated = (F.col("prompts") >= TEMPLATE_PROMPTS) & (F.col("stated_share") >= REFUSAL_SHARE)
+    unlike = (F.col("own_prompts") >= TEMPLATE_PROMPTS) & (F.col("kinds") > 1) & (F.col("off_form") >= OFF_FORM) & (F.col("echo") <= ECHO)
+    return clusters.join(by_root.where(stated | unlike), "root").select("opening_key", "prompts", "stated_share")
 
 
 def defects(calls: DataFrame, documents: DataFrame) -> DataFrame:

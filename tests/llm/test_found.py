@@ -198,6 +198,17 @@ def test_defects(spark):
     assert rows(p5_pairs.p5_found(empty, docs)) == [] and rows(p5_pairs.p5_rates(empty, docs.limit(0))) == []
 
 
+def test_refusals_without_a_known_phrase(spark):
+    """A reply that comes back after unrelated prompts of several call types is a refusal in any wording; a usual answer that comes back isn't."""
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    say = lambda i: f"That request is outside of what this desk does for Firm{i} Works."
+    data = [("extract", f"Read page {i} of the filing.", f'{{"total": {i}}}') for i in range(30)]
+    data += [("generate", f"Why did rule {i} fail?", f"The total was read from the wrong line in run {i + 1}.") for i in range(30)]
+    data += [("extract", f"Fill the record of annex {i}.", say(i)) for i in range(3)] + [("generate", f"Improve prompt {i}.", say(i)) for i in range(2)]
+    frame_ = frame(spark, CALLS, [(i, "p", "M", k, p, o, True, None) for i, (k, p, o) in enumerate(data)])
+    assert rows(p5_pairs.p5_found(frame_, docs)) == [(i, "refusal") for i in range(60, 65)]
+
+
 def test_opening_links_without_the_leader(spark):
     """Openings of one band are linked to each other also where its smallest one is like none of them; tiles change nothing."""
     words = [f"w{i}" for i in range(12)]
