@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A length is a spike if at least SPIKE_LEAST values have it and SPIKE_TIMES as many as lengths in the SPIKE_SPAN around it on average.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_SPAN = 5, 8.0, 50
+#: Lengths under SPIKE_PART * SPIKE_SPAN have neighbours within that part of themselves; a limit leaves so much of its values unfinished.
+SPIKE_PART, SPIKE_UNFINISHED = 4, 0.5
 #: A last line without terminal punctuation is whole if so many values end with it; at a spike length, so many.
 KNOWN_ENDS, KNOWN_ENDS_AT_SPIKE = 3, 6
 #: Longer last lines are running text, which needs terminal punctuation.
@@ -158,17 +160,36 @@ def source_name(col: str) -> Column:
 def length_spikes(measured: DataFrame, source: list[str]) -> DataFrame:
     """(*source, measure, length, values, share) of the lengths that come far more often than their neighbours.
 
-    ``measured`` has chars and bytes; the histograms are per source. A spike is a limit only if few values
-    are longer; top is the share of the source's values that are no longer than the spike.
+    ``measured`` has chars, bytes and unfinished; the histograms are per source. A spike is a limit only if most of its values
+    break off by the other rules, so an answer that is often repeated is none. Longer values don't count against it, since a limit may
+    hold for a part of a source's calls; top is the share of the source's values that are no longer than the spike.
     """
-    both = measured.where("chars > 0").select(*source, F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("m")).select(*source, "m.*")
-    bars = both.groupBy(*source, "measure", "length").agg(F.count("*").alias("values"))
+    both = measured.where("chars > 0").select(*source, "unfinished", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("m")).select(*source, "unfinished", "m.*")
+    bars = both.groupBy(*source, "measure", "length").agg(F.count("*").alias("values"), F.avg(F.col("unfinished").cast("int")).alias("unfinished"))
     by = Window.partitionBy(*source, "measure")
     around = by.orderBy("length").rangeBetween(-SPIKE_SPAN, SPIKE_SPAN)
     up_to = by.orderBy("length").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = (F.sum("values").over(around) - F.col("values")) / F.lit(2.0 * SPIKE_SPAN)
-    marked = bars.withColumn("near", near).withColumn("top", F.sum("values").over(up_to) / F.sum("values").over(by)).withColumn("share", F.col("values") / F.sum("values").over(by))
-    return marked.where((F.col("values") >= SPIKE_LEAST) & (F.col("values") >= SPIKE_TIMES * F.greatest(F.col("near"), F.lit(0.25)))).where(F.col("length") >= 200).select(*source, "measure", "length", "values", "share", "top")
+    span = F.greatest(F.lit(1), F.least(F.lit(SPIKE_SPAN), F.floor(F.col("length") / SPIKE_PART)))
+    close = F.filter("_around", lambda x: F.abs(x["length"] - F.col("length")) <= span)
+    near = (F.aggregate(close, F.lit(0).cast("bigint"), lambda n, x: n + x["values"]) - F.col("values")) / (2.0 * span)
+    marked = bars.withColumn("_around", F.collect_list(F.struct("length", "values")).over(around)).withColumn("near", near).withColumn("top", F.sum("values").over(up_to) / F.sum("values").over(by)).withColumn("share", F.col("values") / F.sum("values").over(by))
+    return marked.where((F.col("values") >= SPIKE_LEAST) & (F.col("values") >= SPIKE_TIMES * F.greatest(F.col("near"), F.lit(0.25)))).where(F.col("unfinished") >= SPIKE_UNFINISHED).select(*source, "measure", "length", "values", "share", "top")
+
+
+def line_ends(rows: DataFrame) -> DataFrame:
+    """``rows`` of endings() with whole, and whole_at_spike if the value has a length of a limit, and unfinished, which no spike decides."""
+    # how often the collection has each line at an end, and as an earlier item of a list
+    ends = rows.where("state = 'line'").groupBy("unit").agg(F.count("*").alias("ends"))
+    inner = rows.select(F.explode("items").alias("unit")).groupBy("unit").agg(F.count("*").alias("inner"))
+    lines = ends.join(inner, "unit", "full").select("unit", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inner", F.lit(0)).alias("inner"))
+    whole = lines.withColumn("n", F.col("ends") + F.col("inner"))
+    # a line that is the beginning of a more frequent line was cut
+    longer = whole.where(F.col("n") >= KNOWN_ENDS).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1))), lambda i: F.substring("unit", 1, i))).alias("unit"), F.length("unit").alias("_l")).groupBy("unit").agg(F.max("n").alias("longer"))
+    known = whole.where("ends > 0").join(longer, "unit", "left").select("unit", F.col("ends").alias("_ends"), F.col("inner").alias("_inner"), F.col("n").alias("_n"), F.coalesce("longer", F.lit(0)).alias("_longer"))
+    is_whole = lambda enough: F.coalesce(((F.col("_ends") >= enough) | (F.col("_inner") >= 1)) & (F.col("_n") >= F.col("_longer")), F.lit(False))
+    lined = rows.where("state = 'line'").join(known, "unit", "left").withColumns({"whole": is_whole(KNOWN_ENDS), "whole_at_spike": is_whole(KNOWN_ENDS_AT_SPIKE)}).drop("_ends", "_inner", "_n", "_longer")
+    rest = rows.where("state <> 'line'").withColumns({"whole": F.col("state") != "cut", "whole_at_spike": F.col("state") != "cut"})
+    return lined.unionByName(rest).withColumn("unfinished", ~F.col("whole"))
 
 
 def classified(calls: DataFrame, key: str = "call_id", text: str = "output", source: tuple[str, ...] = ("provider", "model", "call_type"), latest: str | None = "ingested_at") -> DataFrame:
@@ -182,25 +203,12 @@ def classified(calls: DataFrame, key: str = "call_id", text: str = "output", sou
     rows = endings(named, text, key, *source, "_latest").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "state", "unit"))).where("_n = 1").drop("_n", "_latest")
     from recordscope.session import cut as keep
 
-    rows = keep(rows)
+    rows = line_ends(keep(rows))
     limit = list(source[:2])
     spikes = length_spikes(rows, limit).groupBy(*limit).agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("_bytes"))
     at = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False))
-    rows = rows.join(spikes, limit, "left").withColumn("at_spike", at).drop("_chars", "_bytes")
-    # how often the collection has each line at an end, and as an earlier item of a list
-    ends = rows.where("state = 'line'").groupBy("unit").agg(F.count("*").alias("ends"))
-    inner = rows.select(F.explode("items").alias("unit")).groupBy("unit").agg(F.count("*").alias("inner"))
-    lines = ends.join(inner, "unit", "full").select("unit", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inner", F.lit(0)).alias("inner"))
-    whole = lines.withColumn("n", F.col("ends") + F.col("inner"))
-    # a line that is the beginning of a more frequent line was cut
-    longer = whole.where(F.col("n") >= KNOWN_ENDS).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1))), lambda i: F.substring("unit", 1, i))).alias("unit"), F.length("unit").alias("_l")).groupBy("unit").agg(F.max("n").alias("longer"))
-    known = whole.where("ends > 0").join(longer, "unit", "left").select("unit", F.col("ends").alias("_ends"), F.col("inner").alias("_inner"), F.col("n").alias("_n"), F.coalesce("longer", F.lit(0)).alias("_longer"))
-    lined = rows.where("state = 'line'").join(known, "unit", "left")
-    enough = F.when(F.col("at_spike"), KNOWN_ENDS_AT_SPIKE).otherwise(KNOWN_ENDS)
-    is_whole = ((F.col("_ends") >= enough) | (F.col("_inner") >= 1)) & (F.col("_n") >= F.col("_longer"))
-    out = [key, *source, "chars", "bytes", "at_spike"]
-    decided = lined.select(*out, (~F.coalesce(is_whole, F.lit(False))).alias("cut"))
-    return decided.unionByName(rows.where("state <> 'line'").select(*out, (F.col("state") == "cut").alias("cut")))
+    rows = rows.join(spikes, limit, "left").withColumn("at_spike", at)
+    return rows.select(key, *source, "chars", "bytes", "at_spike", (~F.when(F.col("at_spike"), F.col("whole_at_spike")).otherwise(F.col("whole"))).alias("cut"))
 
 
 def p2_found(calls: DataFrame) -> DataFrame:
@@ -216,5 +224,8 @@ def p2_rates(calls: DataFrame) -> DataFrame:
 
 def p2_limits(calls: DataFrame) -> DataFrame:
     """(provider, model, measure, length, values, share, top): the length limits seen per source."""
-    measured = calls.select(source_name("provider").alias("provider"), source_name("model").alias("model"), F.length("output").alias("chars"), F.octet_length("output").alias("bytes"))
+    from recordscope.session import cut as keep
+
+    named = calls.select(source_name("provider").alias("provider"), source_name("model").alias("model"), F.col("output").cast("string").alias("output"))
+    measured = line_ends(keep(endings(named, "output", "provider", "model")))
     return length_spikes(measured, ["provider", "model"]).withColumns({"share": F.round("share", 6), "top": F.round("top", 6)})

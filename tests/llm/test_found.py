@@ -175,6 +175,17 @@ def test_length_limits(spark):
     assert {("chars", 640), ("bytes", 640), ("bytes", 700), ("chars", 350)} == got
 
 
+def test_limits_of_short_fields(spark):
+    """A limit of few characters is one, and many numbers or whole answers of one length are none."""
+    rng = random.Random(3)
+    outputs = [("w" * rng.randint(2, 7) + " ") * rng.randint(1, 7) + "end." for _ in range(300)] + [("word " * 20)[: 79 - i % 2] + "z" * (1 + i % 2) for i in range(30)]
+    outputs += [f"0.{i:02}" for i in range(100)] + ["This answer is whole. " * 11 + "It is often given."] * 30
+    got = {(r["measure"], r["length"]) for r in p2_cut.p2_limits(frame(spark, CALLS, calls(outputs))).collect()}
+    assert got == {("chars", 80), ("bytes", 80)}
+    rates = p2_cut.p2_rates(frame(spark, CALLS, calls(outputs))).first()
+    assert rates["at_limit"] == 30
+
+
 def test_pair_checks():
     assert all(p5_pairs.is_empty(t) for t in (None, "", " ​ ", "null", '""', "{}", "[ ]", "```json\n```", "<a></a>", "``` \n null\n```"))
     assert not any(p5_pairs.is_empty(t) for t in ("0", "nothing", '{"a": null}', "```\nx\n```"))
