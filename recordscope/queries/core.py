@@ -155,6 +155,13 @@ def metric_string_semantic_fallback(spark: SparkSession, d: str) -> DataFrame:
     return pairs.name_pairs(table(spark, d, "part")).select("p_partkey", F.round(metrics.string_semantic(F.col("predicted"), F.col("gold")), 6).alias("score"))
 
 
+@query("field_scores_dispatched")
+def field_scores_dispatched(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every row of field_scores by the metric that it names, of its whole values; no SQL, which is too slow for the ratio."""
+    rows = table(spark, d, "field_scores").withColumnRenamed("score", "_was")
+    return metrics.dispatch(rows, "metric_type", _P, _G).select("score_id", "metric_type", F.round("score", 6).alias("rescored"))
+
+
 @query("field_scores_rescored")
 def field_scores_rescored(spark: SparkSession, d: str) -> DataFrame:
     """Every recorded leaf score beside the one that its metric gives now, with the ratio metrics."""

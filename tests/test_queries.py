@@ -38,3 +38,19 @@ def test_query(spark, con, data, name):
 def test_entry(spark):
     assert set(core.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+def test_every_recorded_value_gets_a_score(spark, data):
+    """field_scores_dispatched has every row of field_scores, and the ratio of the whole values where the row names one."""
+    from recordscope.functions.metrics import text_ratio
+    from recordscope.queries import core
+
+    got = {r["score_id"]: r["rescored"] for r in core.QUERIES["field_scores_dispatched"](spark, data).collect()}
+    recorded = spark.read.parquet(f"{data}/field_scores.parquet").select("score_id", "metric_type", "predicted_value", "gold_value").collect()
+    assert len(got) == len(recorded)
+    close = [r for r in recorded if r["metric_type"] in ("string_fuzzy", "string_semantic")]
+    assert close
+    for r in close:
+        p, g = (None if v is None else v.strip() for v in (r["predicted_value"], r["gold_value"]))
+        want = float(p is None and g is None) if p is None or g is None else text_ratio(p, g)
+        assert abs(got[r["score_id"]] - want) < 1e-6, r
