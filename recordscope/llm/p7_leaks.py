@@ -158,7 +158,7 @@ def leaks(documents: DataFrame, items: DataFrame, broadcast_pieces: int = BROADC
 def _leaks_by_shuffle(docs: DataFrame, held: DataFrame) -> DataFrame:
     """The same for a held-out set of any size: pieces and document windows meet by their hash."""
 
-    def windows(step: int):
+    def windows(step: int, reach: int = 0):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             form = visual_form()
             for batch in batches:
@@ -167,15 +167,16 @@ def _leaks_by_shuffle(docs: DataFrame, held: DataFrame) -> DataFrame:
                     at = list(range(0, len(w) - PIECE + 1, step))
                     n = len(at)
                     if n:
-                        # the words around each window travel with it, as far as a passage of the same length can reach
-                        near = [w[max(0, i - SPAN) : i + PIECE + SPAN] if step == 1 else w for i in at]
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([piece_hash(w[i : i + PIECE]) for i in at], pa.int64()), pa.array([min(i, SPAN) if step == 1 else i for i in at], pa.int32()), pa.array(near, pa.list_(pa.string()))], ["key", "piece", "at", "words"])
+                        # the words around each window travel with it, as far as the longest passage can reach
+                        near = [w[max(0, i - reach) : i + PIECE + reach] if step == 1 else w for i in at]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([piece_hash(w[i : i + PIECE]) for i in at], pa.int64()), pa.array([min(i, reach) if step == 1 else i for i in at], pa.int32()), pa.array(near, pa.list_(pa.string()))], ["key", "piece", "at", "words"])
 
         return run
 
     schema = "key bigint, piece bigint, at int, words array<string>"
     known = held.mapInArrow(windows(PIECE), schema).select(F.col("key").alias("item_id"), "piece", F.col("at").alias("p_at"), F.col("words").alias("passage"))
-    seen = docs.mapInArrow(windows(1), schema).select(F.col("key").alias("doc_id"), "piece", F.col("at").alias("d_at"), F.col("words").alias("near"))
+    longest = known.agg(F.coalesce(F.max(F.size("passage")), F.lit(0))).first()[0]
+    seen = docs.mapInArrow(windows(1, 2 * longest), schema).select(F.col("key").alias("doc_id"), "piece", F.col("at").alias("d_at"), F.col("words").alias("near"))
     hits = seen.join(known.select("piece").distinct(), "piece", "left_semi").join(known, "piece")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +190,6 @@ def _leaks_by_shuffle(docs: DataFrame, held: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", "p_at", "d_at", "passage", "near").mapInArrow(check, HITS).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"), F.max("words").alias("words"))
 
 
-#: Words around a window that the shuffled search keeps on each side.
-SPAN = 200
-
-
 def p7_found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the document has at least RUN consecutive words of the item's passage."""
     return leaks(documents, items).where(F.col("run") >= RUN).select("doc_id", "item_id")

@@ -320,6 +320,14 @@ def test_leaks(spark):
     assert rows(p7_leaks.p7_found(ddf.limit(0), idf)) == rows(p7_leaks.p7_items(ddf, idf.limit(0))) == []
 
 
+def test_long_leaks_by_shuffle(spark):
+    """A passage of more words than the shuffled search once kept is found whole by both paths."""
+    words = [f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([(1, " ".join(["far"] * 300 + words + ["off"] * 300))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, passage string")
+    assert rows(p7_leaks.leaks(docs, items, 0)) == rows(p7_leaks.leaks(docs, items)) == [(1, 7, 900, 0, 900)]
+
+
 def test_mix(spark):
     docs = frame(spark, "doc_id bigint, text string, source string", [(i, f"text {i} " + "word " * 60, ["big", " BIG", "Small-one", "none"][0 if i % 2 else i % 4]) for i in range(400)] + [(900, None, "big"), (901, "x", None), (902, "", "big"), (903, "text 1 " + "word " * 60, "big")])
     targets = clashing(spark.createDataFrame([("BIG ", 0.5, 1), ("small_one", 0.25, 3), ("absent", 0.25, 4), ("zero", 0.0, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int"))
