@@ -1,15 +1,15 @@
 """Problem 3: near-duplicate records with small edits.
 
 Records that copy each other (problem 1) are first reduced to one representative. Two representatives are
-versions if they share at least 0.7 of the distinct word sequences of either. Candidates are exact: under one
-global order of the sequences, rare ones first, two versions share a sequence of their prefixes. The
-records that share a prefix sequence form a block; inside a block bit-sliced Hamming distances of
+versions if they share at least 0.7 of the distinct word sequences that either has. Candidates are exact: under one
+global order of the sequences, rare ones first by their exact counts, two versions share a sequence of their prefixes. The
+records that share a prefix sequence form a block; inside the blocks bit-sliced Hamming distances of
 parity signatures leave the pairs within the radius that the threshold allows, and the sets decide.
 
 Blocks are compared in two rounds. The first compares each record only with a few leaders of its blocks and joins
-what it finds into components; the second compares only records of different components. A block of very
-many versions of one text thus gives about as many links as it has records, and no link between
-components is lost.
+what it finds into components; the second compares only the blocks that still hold several components, and keeps pairs of
+different components. A block of very many versions of one text thus gives about as many links as it has records, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordscope.llm.bitslice import signature, within
+from recordscope.llm.bitslice import close_pairs, close_to_leader, signature
 from recordscope.llm.canon import canonical_text
 from recordscope.llm.p1_copies import copy_groups
 from recordscope.operators.components import components
@@ -32,9 +32,7 @@ from recordscope.session import cut
 #: Similarity of versions in tenths, words of a sequence.
 TENTHS = 7
 WIDTH = 3
-#: Counters of the sketch that orders the sequences by rarity; it has this size for any input.
-COUNTERS = 1 << 21
-#: A sequence that more records than this may hold is compared in tiles of about so many records.
+#: A block of more records than this is compared in tiles of about so many records.
 TILE_ROWS = 4096
 #: Leaders of a block in the first round.
 LEADERS = 4
@@ -49,135 +47,140 @@ def sequences(text: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + WIDTH])) for i in range(len(words) - WIDTH + 1)], dtype=np.uint64).astype(np.int64))
 
 
-def prefix_length(n: int) -> int:
-    """How many of its first sequences a record needs so that every version shares one of them."""
-    return n - (TENTHS * n + 9) // 10 + 1
+def prefix_length(n: Column) -> Column:
+    """How many of its first entries a set of n entries needs so that every set that shares enough with it holds one of them."""
+    return n - F.ceil(n * TENTHS / F.lit(10)).cast("int") + 1
+
+
+def reach(n: np.ndarray) -> np.ndarray:
+    """Most sequences in which a record with n of them and any version of it can differ: the largest version has n * 10 / TENTHS."""
+    return n * 10 // TENTHS - n
 
 
 def radius(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Most sequences that two versions with n and m sequences can differ in; negative if they can't be versions."""
-    more, less = np.maximum(n, m), np.minimum(n, m)
-    return np.where(10 * less >= TENTHS * more, n + m - 2 * ((TENTHS * more + 9) // 10), -1)
+    """Most sequences in which versions with n and m sequences can differ: they share TENTHS / (10 + TENTHS) of n + m at least."""
+    return n + m - 2 * -(-TENTHS * (n + m) // (10 + TENTHS))
+
+
+def shares_enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether two sets of n and m entries have at least TENTHS tenths of their union in common."""
+    return shared * 10 >= (n + m - shared) * TENTHS
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """(rep, tokens) of a table (rep, text)."""
+    """(rep, tokens, sig) of a table (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequences(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "tokens"])
+            sets = [sequences(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array([signature(t).tobytes() for t in sets], pa.binary())], ["rep", "tokens", "sig"])
 
-    return texts.mapInArrow(run, "rep bigint, tokens array<bigint>")
+    return texts.mapInArrow(run, "rep bigint, tokens array<bigint>, sig binary")
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """Counts of the sequences by counter of the sketch, each at least the number of records that hold a sequence of it."""
-    counted = sets.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
-    table = counted.toArrow()
-    out = np.zeros(COUNTERS, np.int32)
-    out[table.column("c").to_numpy()] = table.column("n").to_numpy()
-    return out
+def prefixes(sets: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, n, token, position): the entries of each set's prefix that another set holds too, rare ones first.
 
-
-def postings(sets: DataFrame, counts) -> DataFrame:
-    """A row (``POSTINGS``) per record, prefix sequence that another record may hold, and tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts.value
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for rep, comp, tokens in zip(batch.column("rep").to_pylist(), batch.column("comp").to_pylist(), batch.column("tokens")):
-                t = tokens.values.to_numpy()
-                if not len(t):
-                    continue
-                held = count[t % COUNTERS]
-                order = np.lexsort((t, held))[: prefix_length(len(t))]
-                order = order[held[order] > 1]
-                sig = signature(t).tobytes()
-                for x, c in zip(t[order].tolist(), held[order].tolist()):
-                    chunks = -(-c // TILE_ROWS)
-                    mine = hash(rep) % chunks
-                    for other in range(chunks):
-                        row = (x, min(mine, other) * chunks + max(mine, other), mine, rep, len(t), sig, comp)
-                        for col, v in zip(cols, row):
-                            col.append(v)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], [x.split()[0] for x in POSTINGS.split(", ")])
-
-    return sets.mapInArrow(run, POSTINGS)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of each (token, tile) of a sorted partition; at most one group is held over from a batch."""
+    The counts are exact: the entries are counted with map-side sums, and joined back where more than one set holds them.
+    Entries of one set only come first in the order, so they use up the prefix without a row.
+    """
+    each = sets.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(held, "token").groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    kept = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n")) - alone))
+    return ranked.select(*keys, "n", alone.alias("alone"), F.posexplode(kept).alias("at", "x")).select(*keys, "n", "x.token", (F.col("alone") + F.col("at")).alias("position"))
+
+
+def blocks(prefix: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(token, members) of the blocks of at least two records, or, with the records' components, of several components."""
+    if comps is None:
+        return prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    mixed = prefix.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return mixed.where("low < high").select("token", "members")
+
+
+def postings(prefix: DataFrame, sets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """A row (``POSTINGS``) per record and block; the second round, which has components, also per tile of a large block."""
+    open_ = blocks(prefix, comps)
+    named = sets.select("rep", "sig", F.size("tokens").alias("n"))
+    named = named.withColumn("comp", F.col("rep")) if comps is None else named.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    chunks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
+    rows = prefix.select("rep", "token").join(open_, "token").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    if comps is None:
+        rows = rows.withColumn("tile", F.col("side"))
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("tile", F.least("side", "other") * F.col("chunks") + F.greatest("side", "other"))
+    return rows.select("rep", "token", "tile", "side").join(named, "rep").select("token", "tile", "side", "rep", "n", "sig", "comp")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in tables that end where a (token, tile) ends."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None:
             table = pa.concat_tables([rest, table])
-        token, tile = table.column("token").to_numpy(), table.column("tile").to_numpy()
-        if not len(token):
-            continue
-        starts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(tile) != 0)) + 1])
-        rest = table.slice(int(starts[-1]))
-        yield from _split(table.slice(0, int(starts[-1])), starts[:-1])
+        if table.num_rows:
+            token, tile = table.column("token").to_numpy(), table.column("tile").to_numpy()
+            last = np.flatnonzero((token != token[-1]) | (tile != tile[-1]))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield table.slice(0, end)
+            rest = table.slice(end)
     if rest is not None and rest.num_rows:
-        yield from _split(rest, np.zeros(1, int))
-
-
-def _split(table: pa.Table, starts: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    if not table.num_rows:
-        return
-    cols = {c: table.column(c).to_numpy() for c in ("rep", "n", "comp", "side")}
-    cols["n"] = cols["n"].astype(np.int64)
-    cols["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, 8)
-    for lo, hi in zip(starts, [*starts[1:], table.num_rows]):
-        if hi - lo > 1:
-            yield {c: x[lo:hi] for c, x in cols.items()}
-
-
-def _near(g: dict[str, np.ndarray], ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, row) of the pairs of the group within the radius of their sizes."""
-    limit = np.max(radius(g["n"][ask][:, None], g["n"][None, :]), axis=1) if len(ask) * len(g["n"]) < 1 << 20 else (2 * g["n"][ask]) * (10 - TENTHS) // TENTHS + 2
-    q, r = within(g["sig"][ask], limit, g["sig"])
-    q = ask[q]
-    exact = np.bitwise_count(g["sig"][q] ^ g["sig"][r]).sum(axis=1, dtype=np.int64) <= radius(g["n"][q], g["n"][r])
-    sides = (g["side"].min() == g["side"].max()) | (g["side"][q] != g["side"][r])
-    keep = exact & (q != r) & sides
-    return q[keep], r[keep]
+        yield rest
+
+
+def _leader_pairs(sigs: np.ndarray, limits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leader, row) of the near rows of each block: the first row leads, then the first that is near no leader so far."""
+    left = np.ones(len(sigs), bool)
+    rows = np.arange(len(sigs))
+    for _ in range(LEADERS):
+        open_ = rows[left[rows]]
+        block = np.searchsorted(starts, open_, "right") - 1
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        size = np.diff(np.append(first, len(open_)))
+        several = size > 1
+        if not several.any():
+            return
+        keep = np.repeat(several, size)
+        open_, size = open_[keep], size[several]
+        begin = np.cumsum(size) - size
+        a, b = close_to_leader(sigs[open_], limits[open_], begin, begin, size)
+        yield open_[a], open_[b]
+        left[:] = False
+        left[open_] = True
+        left[open_[begin]] = False
+        left[open_[b]] = False
 
 
 def candidates(posted: DataFrame, first_round: bool) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the blocks: with the leaders only, or between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for g in _groups(batches):
-            rep, comp = g["rep"], g["comp"]
+        for table in _whole_blocks(batches):
+            token, tile, rep, comp, side = (table.column(c).to_numpy() for c in ("token", "tile", "rep", "comp", "side"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, 8)
+            n = table.column("n").to_numpy().astype(np.int64)
+            limits = reach(n)
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(tile) != 0)) + 1])
+            sizes = np.diff(np.append(starts, len(token)))
             if first_round:
-                left = np.arange(len(rep))
-                for _ in range(LEADERS):
-                    if len(left) < 2:
-                        break
-                    part = {c: x[left] for c, x in g.items()}
-                    q, r = _near(part, np.zeros(1, np.int64))
-                    out.update(zip(np.minimum(rep[left[0]], rep[left[r]]).tolist(), np.maximum(rep[left[0]], rep[left[r]]).tolist()))
-                    left = np.delete(left, np.concatenate([[0], r]))
+                found = list(_leader_pairs(sigs, limits, starts, sizes))
+                a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+                b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+                keep = np.ones(len(a), bool)
             else:
-                kinds, which, size = np.unique(comp, return_inverse=True, return_counts=True)
-                if len(kinds) < 2:
-                    continue
-                q, r = _near(g, np.flatnonzero(which != size.argmax()))
-                apart = comp[q] != comp[r]
-                a, b = rep[q[apart]], rep[r[apart]]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-            if len(out) > 200_000:
-                yield pairs(out)
-                out = set()
-        yield pairs(out)
-
-    def pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                mixed = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
+                a, b = close_pairs(sigs, limits, starts[mixed], sizes[mixed])
+                # a tile of two sides compares them with each other; each side has a tile of its own
+                twofold = np.minimum.reduceat(side, starts) < np.maximum.reduceat(side, starts)
+                block = np.searchsorted(starts, a, "right") - 1
+                keep = (comp[a] != comp[b]) & (~twofold[block] | (side[a] != side[b]))
+            keep &= np.bitwise_count(sigs[a] ^ sigs[b]).sum(axis=1, dtype=np.int64) <= radius(n[a], n[b])
+            pairs = np.unique(np.sort(np.stack([rep[a[keep]], rep[b[keep]]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
     return posted.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "rep").mapInArrow(run, PAIRS).distinct()
 
@@ -187,16 +190,15 @@ def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     both = found.join(left, "a").join(right, "b")
-    return both.where(F.size(F.array_intersect("ta", "tb")) * 10 >= F.greatest(F.size("ta"), F.size("tb")) * TENTHS).select("a", "b")
+    return both.where(shares_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select("a", "b")
 
 
 def version_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between versions that join every group of versions; not every pair of a group has one."""
-    counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
-    stars = cut(verified(candidates(postings(sets.withColumn("comp", F.col("rep")), counts), True), sets))
-    known = components(stars)
-    labelled = sets.join(known.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    across = verified(candidates(postings(labelled, counts), False), sets)
+    """Links (a, b) between versions that join every group of versions; not every pair of a group has one. ``sets`` has rep, tokens and sig."""
+    prefix = cut(prefixes(sets, "rep").select("rep", "token"))
+    stars = cut(verified(candidates(postings(prefix, sets, None), True), sets))
+    known = cut(components(stars).select(F.col("node").alias("rep"), F.col("root").alias("comp")))
+    across = verified(candidates(postings(prefix, sets, known), False), sets)
     return stars.unionByName(across)
 
 

@@ -1,10 +1,11 @@
 """Problem 4: the same or nearly the same records in the training and the evaluation splits.
 
 Two records match by doc_id or by their leaf entries. The entries are compared by an exact bipartite prefix-filter
-join: under one global order of the entries, rare ones first, two sets that share enough must share one of
-their first entries. The prefixes of the evaluation sets are the index; the training prefixes probe it, with
+join: under one global order of the entries, rare ones first by their exact counts, two sets that share enough must share
+one of their first entries. The prefixes of the evaluation sets are the index; the training prefixes probe it, with
 a length filter and a position filter (what can still be shared after this entry); the whole sets decide.
-Records with equal sets are joined as one.
+Records with equal sets are one set; pairs of sets become pairs of records only where pairs are asked for, and all joins
+split hot keys into tiles.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordscope.llm.p3_versions import COUNTERS, TENTHS, prefix_length, rarity
+from recordscope.llm.p3_versions import TENTHS, prefixes, shares_enough
+from recordscope.operators.skew import tiled_join
 from recordscope.session import cut
 
 
@@ -73,39 +75,25 @@ def entry_sets(records: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_no bigint, evaluation boolean, key string, source string, split string, set_id binary, tokens array<bigint>")
 
 
-def prefixes(sets: DataFrame, counts) -> DataFrame:
-    """(token, position, n, set_id, train, evaluation): the prefix of each set in the global order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts.value
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for set_id, tokens, train, evaluation in zip(batch.column("set_id").to_pylist(), batch.column("tokens"), batch.column("train").to_pylist(), batch.column("evaluation").to_pylist()):
-                t = tokens.values.to_numpy()
-                held = count[t % COUNTERS]
-                for at, i in enumerate(np.lexsort((t, held))[: prefix_length(len(t))].tolist()):
-                    if held[i] > 1:
-                        for col, v in zip(cols, (int(t[i]), at, len(t), set_id, train, evaluation)):
-                            col.append(v)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["token", "position", "n", "set_id", "train", "evaluation"])
-
-    return sets.select("set_id", "tokens", "train", "evaluation").mapInArrow(run, "token bigint, position int, n int, set_id binary, train boolean, evaluation boolean")
-
-
 def similar_sets(sets: DataFrame) -> DataFrame:
-    """(e, t): all pairs of an evaluation set and a training set, not the same set, that share enough of the larger one."""
-    counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
-    posted = prefixes(sets, counts)
+    """(e, t): all pairs of an evaluation set and a training set, not the same set, that share enough of their union."""
+    posted = cut(prefixes(sets, "set_id", "train", "evaluation"))
     index = posted.where("evaluation").select("token", F.col("position").alias("pe"), F.col("n").alias("ne"), F.col("set_id").alias("e"))
     probe = posted.where("train").select("token", F.col("position").alias("pt"), F.col("n").alias("nt"), F.col("set_id").alias("t"))
-    need = F.ceil(F.greatest("ne", "nt") * TENTHS / 10)
-    found = index.join(probe, "token").where(
+    need = F.ceil((F.col("ne") + F.col("nt")) * TENTHS / F.lit(10 + TENTHS))
+    found = tiled_join(index, probe, "token", "e", "t").where(
         (F.col("e") != F.col("t")) & (F.least("ne", "nt") * 10 >= F.greatest("ne", "nt") * TENTHS) & (F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) >= need)
     ).select("e", "t").distinct()
     left, right = sets.select(F.col("set_id").alias("e"), F.col("tokens").alias("te")), sets.select(F.col("set_id").alias("t"), F.col("tokens").alias("tt"))
     both = found.join(left, "e").join(right, "t")
-    return both.where(F.size(F.array_intersect("te", "tt")) * 10 >= F.greatest(F.size("te"), F.size("tt")) * TENTHS).select("e", "t")
+    return both.where(shares_enough(F.size(F.array_intersect("te", "tt")), F.size("te"), F.size("tt"))).select("e", "t")
+
+
+def set_pairs(rows: DataFrame) -> DataFrame:
+    """(e, t): all pairs of an evaluation set and a training set that match, a set with itself where both splits have it."""
+    sets = cut(rows.where("set_id is not null").groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.max(~F.col("evaluation")).alias("train"), F.max("evaluation").alias("evaluation")))
+    same = sets.where("train and evaluation").select(F.col("set_id").alias("e"), F.col("set_id").alias("t"))
+    return cut(similar_sets(sets).unionByName(same))
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -116,11 +104,11 @@ def overlaps(records: DataFrame) -> DataFrame:
     Rows that repeat a doc_no give each pair once. An empty table gives no rows; extra columns play no part.
     """
     rows = cut(entry_sets(records))
-    sets = cut(rows.where("set_id is not null").groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.max(~F.col("evaluation")).alias("train"), F.max("evaluation").alias("evaluation")))
-    pairs = similar_sets(sets).unionByName(sets.where("train and evaluation").select(F.col("set_id").alias("e"), F.col("set_id").alias("t")))
+    pairs = set_pairs(rows)
     train, held = rows.where("not evaluation"), rows.where("evaluation")
-    by_entries = pairs.join(held.select(F.col("set_id").alias("e"), F.col("doc_no").alias("eval_no")), "e").join(train.select(F.col("set_id").alias("t"), F.col("doc_no").alias("train_no")), "t").select("train_no", "eval_no", F.lit(False).alias("by_id"), F.lit(True).alias("by_entries"))
-    by_id = train.select("key", F.col("doc_no").alias("train_no")).join(held.select("key", F.col("doc_no").alias("eval_no")), "key").select("train_no", "eval_no", F.lit(True).alias("by_id"), F.lit(False).alias("by_entries"))
+    with_eval = tiled_join(pairs, held.select(F.col("set_id").alias("e"), F.col("doc_no").alias("eval_no")), "e", "t", "eval_no")
+    by_entries = tiled_join(with_eval.select("t", "eval_no"), train.select(F.col("set_id").alias("t"), F.col("doc_no").alias("train_no")), "t", "eval_no", "train_no").select("train_no", "eval_no", F.lit(False).alias("by_id"), F.lit(True).alias("by_entries"))
+    by_id = tiled_join(train.select("key", F.col("doc_no").alias("train_no")), held.select("key", F.col("doc_no").alias("eval_no")), "key", "train_no", "eval_no").select("train_no", "eval_no", F.lit(True).alias("by_id"), F.lit(False).alias("by_entries"))
     return by_entries.unionByName(by_id).where("train_no <> eval_no").groupBy("train_no", "eval_no").agg(F.max("by_id").alias("by_id"), F.max("by_entries").alias("by_entries"))
 
 
@@ -130,8 +118,22 @@ def p4_found(records: DataFrame) -> DataFrame:
 
 
 def p4_report(records: DataFrame) -> DataFrame:
-    """(split, source, pairs, by_id, by_entries, records): overlaps of each evaluation split and source with train."""
-    where = records.select(F.col("doc_no").cast("bigint").alias("eval_no"), F.lower(F.trim("split")).alias("split"), F.lower(F.trim(F.coalesce(F.col("source").cast("string"), F.lit("unknown")))).alias("source")).where(F.col("split").isin("val", "test")).dropDuplicates(["eval_no"])
-    n = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
-    per_record = overlaps(records).groupBy("eval_no").agg(F.count("*").alias("pairs"), n("by_id"), n("by_entries"))
-    return per_record.join(where, "eval_no").groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.sum("by_id").alias("by_id"), F.sum("by_entries").alias("by_entries"), F.count("*").alias("records"))
+    """(split, source, pairs, by_id, by_entries, records): overlaps of each evaluation split and source with train.
+
+    Pairs are counted by classes of records with one doc_id and one set of entries, and never written out. Of rows that repeat a
+    doc_no the first in the order of split, doc_id and entries counts.
+    """
+    rows = cut(entry_sets(records))
+    pairs = set_pairs(rows)
+    once = rows.groupBy("doc_no").agg(F.min(F.struct("split", "evaluation", "key", "set_id", "source")).alias("r")).select("r.*")
+    held = cut(once.where("evaluation").groupBy("split", "source", "key", "set_id").agg(F.count("*").alias("n")))
+    train = cut(once.where("not evaluation").groupBy("key", "set_id").agg(F.count("*").alias("n")))
+    by_key = train.where("key is not null").groupBy("key").agg(F.sum("n").alias("by_id"))
+    linked = tiled_join(pairs, train.where("set_id is not null").select(F.col("set_id").alias("t"), F.col("key").alias("train_key"), "n"), "t", "e", "train_key").select(F.col("e").alias("set_id"), "train_key", "n")
+    by_set = linked.groupBy("set_id").agg(F.sum("n").alias("by_entries"))
+    by_both = linked.where("train_key is not null").groupBy("set_id", F.col("train_key").alias("key")).agg(F.sum("n").alias("both"))
+    zero = F.lit(0).cast("bigint")
+    told = held.join(by_key, "key", "left").join(by_set, "set_id", "left").join(by_both, ["set_id", "key"], "left").na.fill(0, ["by_id", "by_entries", "both"])
+    told = told.withColumn("pairs", F.col("by_id") + F.col("by_entries") - F.col("both")).where(F.col("pairs") > zero)
+    total = lambda c: F.sum(F.col(c) * F.col("n")).alias(c)
+    return told.groupBy("split", "source").agg(total("pairs"), total("by_id"), total("by_entries"), F.sum("n").alias("records"))

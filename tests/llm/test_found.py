@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordscope.llm import p1_copies, p2_cut, p3_versions, p4_splits, p5_pairs, p7_leaks, p8_mix, p9_lookalikes
-from recordscope.llm.bitslice import within
+from recordscope.llm.bitslice import close_pairs, close_to_leader
 from recordscope.llm.canon import canonical_text
 from recordscope.llm.visual import pair_scores, visual_form
 from recordscope.session import table
@@ -110,7 +110,7 @@ def test_versions(spark):
 
     for a, b in itertools.combinations(sets, 2):
         (ca, sa), (cb, sb) = sets[a], sets[b]
-        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * max(len(sa), len(sb)):
+        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * len(sa | sb):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     df = frame(spark, PROMPTS, data)
@@ -127,13 +127,25 @@ def test_versions_in_tiles(spark, monkeypatch):
 
 
 def test_bit_sliced_distances():
+    """Blocks of all sizes side by side give the pairs that plain distances give, and far words are abandoned."""
     rng = np.random.default_rng(1)
-    for n in (3, 64, 65, 300, 1100):
-        sigs = rng.integers(0, 2**63, (n, 8), dtype=np.uint64)
-        sigs[1], sigs[n // 2] = sigs[0], sigs[2] ^ np.uint64(9)
-        radius = rng.integers(0, 260, n)
-        distance = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(2, dtype=int)
-        assert set(zip(*within(sigs, radius, sigs))) == set(zip(*np.nonzero(distance <= radius[:, None])))
+    sizes = np.concatenate([rng.integers(1, 70, 60), [1, 2, 3, 64, 65, 200]])
+    starts = np.cumsum(sizes) - sizes
+    sigs = rng.integers(0, 2**63, (sizes.sum(), 8), dtype=np.uint64)
+    for i in range(1, len(sigs), 3):
+        sigs[i] = sigs[i - 1] ^ np.uint64(rng.integers(0, 2**30))
+    limits = rng.integers(0, 130, len(sigs))
+    near, led, leaders = set(), set(), starts + sizes // 2
+    for s, k, top in zip(starts, sizes, leaders):
+        block, most = sigs[s : s + k], limits[s : s + k]
+        apart = np.bitwise_count(block[:, None] ^ block[None]).sum(2, dtype=int)
+        near |= {(s + i, s + j) for i, j in zip(*np.nonzero(np.triu(apart <= np.minimum(most[:, None], most), 1)))}
+        led |= {(top, s + i) for i in np.flatnonzero(apart[top - s] <= most) if s + i != top and k > 1}
+    stats = {}
+    assert set(zip(*close_pairs(sigs, limits, starts, sizes, stats))) == near and 0 < stats["abandoned"] < stats["words"]
+    several = sizes > 1
+    assert set(zip(*close_to_leader(sigs, limits, leaders[several], starts[several], sizes[several]))) == led
+    assert len(close_pairs(sigs[:0], limits[:0], starts[:0], sizes[:0])[0]) == 0
 
 
 # --- 2 and 5 -----------------------------------------------------------------------------------------------------------
@@ -274,7 +286,7 @@ def test_overlaps(spark):
     for a, b in itertools.permutations([r for r in data if r[0] is not None], 2):
         if a[2] == "train" and b[2].strip().lower() in ("val", "test"):
             x, y = p4_splits.leaf_entries(a[4]), p4_splits.leaf_entries(b[4])
-            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * max(len(x), len(y)):
+            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * len(x | y):
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
     df = frame(spark, GOLD, data + data[10:20])
     assert rows(p4_splits.p4_found(df)) == sorted(want, key=repr) and (903, 904) in want
