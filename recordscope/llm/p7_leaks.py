@@ -1,41 +1,41 @@
 """Problem 7: evaluation passages leaking into documents.
 
-Each passage is split into pieces of a few words, one more than the edits that a leak may have, so that a piece is
-left whole (pigeonhole); every run of ``RUN`` words of the passage holds a whole piece as well. Documents are searched
-for exact pieces in one pass. Each hit is verified at its place: Myers' bit-parallel distance between the passage and
-the words around the hit, and the longest run of words in common there.
+Each passage has an error budget of k edits and is split into k + 1 pieces, so that a leak with at most k edits leaves a
+piece whole (pigeonhole). A piece has at most half of ``RUN`` words, so every run of RUN words of the passage holds a whole piece too. Documents
+are searched for exact pieces by rolling hashes. Each hit is verified at its place by Myers' bit-parallel distance over words: a
+document leaks a passage if the whole passage is there with at most k edits, or RUN of its words in a row without any.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordscope.llm.visual import visual_form
+from recordscope.operators.skew import tiled_join
+from recordscope.session import cut
 
-#: Consecutive words of a passage that make a leak, and words of a piece: any RUN words hold a whole piece of RUN // 2.
-RUN = 12
-PIECE = RUN // 2
-#: Up to so many pieces the held-out set is sent to every task (about 100 MB at most); beyond it is joined by shuffle.
-BROADCAST_PIECES = 1_000_000
+#: Consecutive words of a passage that make a leak; words of a passage for each piece, which makes the budget one edit in PIECE words.
+RUN, PIECE = 12, 5
+#: Up to so many pieces the held-out set is sent to every task (about 20 MB at most); beyond it is joined by shuffle, with the same result.
+BROADCAST_PIECES = 100_000
 
 WORD = re.compile(r"[^\W_]+")
-HITS = "doc_id bigint, item_id bigint, run int, edits int, words int"
+HITS = "doc_id bigint, item_id bigint, run int, part_edits int, edits int, budget int, words int"
+#: Multipliers of the words of a piece.
+WEIGHTS = np.random.default_rng(7).integers(1, 2**63, RUN, dtype=np.uint64) | np.uint64(1)
 
 
 def words_of(form, text: str) -> list[str]:
     return WORD.findall(form(text).casefold())
 
 
-def piece_hash(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63
-
-
 def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
     """(least edits, end) of the best place of the whole pattern in the text: Myers' bit vectors over words, of any width."""
     m = len(pattern)
@@ -78,56 +78,88 @@ def common_run(passage: list[str], text: list[str], at: int, pos: int, size: int
     return left + right
 
 
-def pieces(passage: list[str]) -> list[tuple[int, int]]:
-    """(start, size) of the pieces of a passage; a short rest joins the last piece's overlap."""
-    if len(passage) < PIECE:
+def pieces(words: int) -> list[tuple[int, int]]:
+    """(start, size) of the pieces of a passage of so many words: budget + 1 of them, as even as can be; none if it is shorter than PIECE."""
+    if words < PIECE:
         return []
-    starts = list(range(0, len(passage) - PIECE + 1, PIECE))
-    return [(s, PIECE) for s in starts]
-
-
-def verify(passage: list[str], text: list[str], at: int, pos: int) -> tuple[int, int]:
-    """(run, edits) of the passage at a hit; edits of the whole passage within a window as wide as the passage on both sides."""
-    run = common_run(passage, text, at, pos, PIECE)
-    lo, hi = max(0, pos - at - len(passage)), min(len(text), pos - at + 2 * len(passage))
-    return run, myers(passage, text[lo:hi])[0]
-
-
-def _search(texts, docs, index: dict[int, list[tuple[int, int]]], passages: dict[int, list[str]], form) -> Iterator[tuple[int, int, int, int, int]]:
-    """Hits (doc_id, item_id, run, edits, words) of the documents, the best of each pair."""
-    for doc, text in zip(docs, texts):
-        words = words_of(form, text)
-        best: dict[int, tuple[int, int]] = {}
-        seen: set[tuple[int, int]] = set()
-        for pos in range(len(words) - PIECE + 1):
-            for item, at in index.get(piece_hash(words[pos : pos + PIECE]), ()):
-                passage = passages[item]
-                # pieces on one diagonal that are part of one run need no second look
-                if (item, pos - at) in seen or words[pos : pos + PIECE] != passage[at : at + PIECE]:
-                    continue
-                run, edits = verify(passage, words, at, pos)
-                if run >= len(passage) - at:
-                    seen.add((item, pos - at))
-                was = best.get(item)
-                best[item] = (run, edits) if was is None else (max(run, was[0]), min(edits, was[1]))
-        for item, (run, edits) in best.items():
-            yield doc, item, run, edits, len(passages[item])
+    n = max(words // PIECE, -(-words // (RUN // 2)))
+    ends = [words * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def verify(passage: list[str], text: list[str], hits: Iterable[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(run, part_edits, edits) of the passage at its hits (at, size, pos), the best of each.
+
+    run counts the words in common around a hit, part_edits the least edits of RUN words of the passage that hold the piece,
+    edits the least edits of the whole passage within a window as wide as the passage on both sides.
+    """
+    run, part, edits = 0, RUN, len(passage)
+    seen: dict[int, int] = {}
+    for at, size, pos in sorted(hits, key=lambda h: h[2]):
+        # a piece inside a run that was looked at already gives nothing new
+        if seen.get(pos - at, -1) >= pos + size or text[pos : pos + size] != passage[at : at + size]:
+            continue
+        here = common_run(passage, text, at, pos, size)
+        right = size
+        while at + right < len(passage) and pos + right < len(text) and passage[at + right] == text[pos + right]:
+            right += 1
+        seen[pos - at] = pos + right
+        run = max(run, here)
+        near = text[max(0, pos - RUN) : pos + size + RUN]
+        for start in range(max(0, at + size - RUN), min(at, len(passage) - RUN) + 1):
+            if part:
+                part = min(part, myers(passage[start : start + RUN], near)[0])
+        if edits:
+            edits = min(edits, myers(passage, text[max(0, pos - at - len(passage)) : pos - at + 2 * len(passage)])[0])
+    return run, part, edits
+
+
+class Windows:
+    """Hashes of the windows of words of texts, by size of the window."""
+
+    def __init__(self, sizes: Iterable[int]):
+        self.sizes, self.form, self.known = sorted(sizes), visual_form(), {}
+
+    def words(self, text: str) -> list[str]:
+        return words_of(self.form, text)
+
+    def hashed(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1_000_000:
+            known.clear()
+        return np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], np.uint64)
+
+    def of(self, hashed: np.ndarray, size: int) -> np.ndarray:
+        """A hash for every window of ``size`` words, by its first word."""
+        n = len(hashed) - size + 1
+        out = np.full(max(0, n), size, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(size if n > 0 else 0):
+                out += hashed[i : i + n] * WEIGHTS[i]
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    cols = list(zip(*rows)) or [()] * 7
+    types = [pa.int64(), pa.int64()] + [pa.int32()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in HITS.split(", ")])
 
 
+def _verified(found: DataFrame) -> DataFrame:
+    """The best of each document and item that is a leak by either measure."""
+    best = found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("part_edits").alias("part_edits"), F.min("edits").alias("edits"), F.max("budget").alias("budget"), F.max("words").alias("words"))
+    return best.where("part_edits = 0 or edits <= budget")
+
+
 def leaks(documents: DataFrame, items: DataFrame, broadcast_pieces: int = BROADCAST_PIECES) -> DataFrame:
-    """(doc_id, item_id, run, edits, words) of every document and item that share a whole piece of the item.
+    """(doc_id, item_id, run, part_edits, edits, budget, words) of every document that leaks an item.
 
-    run is the longest run of words in common at a hit, edits the least edits (words) that turn the passage into a
-    part of the document near a hit, words the length of the passage. Words are compared without case, white space,
-    punctuation and look-alike characters. Items shorter than a piece can't leak; null texts and passages have no
-    words; rows with a null key are left out; an item_id that recurs keeps each of its passages. Empty tables give
-    no rows; extra columns play no part.
+    run is the longest run of words in common at a hit, part_edits the least edits (words) of RUN words of the passage there, edits
+    those that turn the whole passage into a part of the document near a hit, budget the edits that the passage may have, words
+    its length. Words are compared without case, white space, punctuation and look-alike characters. Items shorter
+    than PIECE words can't leak; null texts and passages have no words; rows with a null key are left out; an item_id or doc_id that recurs
+    keeps each of its texts, and the best counts. Empty tables give no rows; extra columns play no part.
     """
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     held = items.select(F.col("item_id").cast("bigint"), F.col("passage").cast("string")).where("item_id is not null and passage is not null").distinct()
@@ -135,67 +167,97 @@ def leaks(documents: DataFrame, items: DataFrame, broadcast_pieces: int = BROADC
     size = held.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0] / (2 * PIECE)
     if size > broadcast_pieces:
         return _leaks_by_shuffle(docs, held)
-    form = visual_form()
-    passages: dict[int, list[str]] = {}
-    names: dict[int, int] = {}
-    index: dict[int, list[tuple[int, int]]] = {}
-    for n, r in enumerate(held.orderBy("item_id", "passage").collect()):
-        passages[n], names[n] = words_of(form, r["passage"]), r["item_id"]
-        for at, length in pieces(passages[n]):
-            index.setdefault(piece_hash(passages[n][at : at + length]), []).append((n, at))
-    shared = documents.sparkSession.sparkContext.broadcast((index, passages, names))
+    own = Windows(())
+    passages, places = [], {}
+    for r in held.orderBy("item_id", "passage").collect():
+        words = own.words(r["passage"])
+        hashed = own.hashed(words)
+        for at, size in pieces(len(words)):
+            places.setdefault((size, int(own.of(hashed[at : at + size], size)[0])), []).append((len(passages), at))
+        passages.append((r["item_id"], words))
+    shared = documents.sparkSession.sparkContext.broadcast((passages, places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, texts, ids = shared.value
-        own_form = visual_form()
+        known, at_piece = shared.value
+        windows = Windows({s for s, _ in at_piece})
+        keys = {s: np.array(sorted(h for t, h in at_piece if t == s), np.int64) for s in windows.sizes}
         for batch in batches:
-            yield _batch([(d, ids[i], *rest) for d, i, *rest in _search(batch.column(1).to_pylist(), batch.column(0).to_pylist(), own, texts, own_form)])
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = windows.words(text)
+                hashed = windows.hashed(words)
+                hits: dict[int, list[tuple[int, int, int]]] = {}
+                for s in windows.sizes:
+                    w = windows.of(hashed, s)
+                    near = np.searchsorted(keys[s], w)
+                    for pos in np.flatnonzero(keys[s][np.minimum(near, len(keys[s]) - 1)] == w).tolist():
+                        for item, at in at_piece[s, int(w[pos])]:
+                            hits.setdefault(item, []).append((at, s, pos))
+                for item, where in hits.items():
+                    item_id, passage = known[item]
+                    rows.append((doc, item_id, *verify(passage, words, where), len(pieces(len(passage))) - 1, len(passage)))
+            yield _batch(rows)
 
-    found = docs.mapInArrow(run, HITS)
-    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"), F.max("words").alias("words"))
+    return _verified(docs.mapInArrow(run, HITS))
 
 
 def _leaks_by_shuffle(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """The same for a held-out set of any size: pieces and document windows meet by their hash."""
-
-    def windows(step: int, reach: int = 0):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            form = visual_form()
-            for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    w = words_of(form, text)
-                    at = list(range(0, len(w) - PIECE + 1, step))
-                    n = len(at)
-                    if n:
-                        # the words around each window travel with it, as far as the longest passage can reach
-                        near = [w[max(0, i - reach) : i + PIECE + reach] if step == 1 else w for i in at]
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([piece_hash(w[i : i + PIECE]) for i in at], pa.int64()), pa.array([min(i, reach) if step == 1 else i for i in at], pa.int32()), pa.array(near, pa.list_(pa.string()))], ["key", "piece", "at", "words"])
-
-        return run
-
-    schema = "key bigint, piece bigint, at int, words array<string>"
-    known = held.mapInArrow(windows(PIECE), schema).select(F.col("key").alias("item_id"), "piece", F.col("at").alias("p_at"), F.col("words").alias("passage"))
-    longest = known.agg(F.coalesce(F.max(F.size("passage")), F.lit(0))).first()[0]
-    seen = docs.mapInArrow(windows(1, 2 * longest), schema).select(F.col("key").alias("doc_id"), "piece", F.col("at").alias("d_at"), F.col("words").alias("near"))
-    hits = seen.join(known.select("piece").distinct(), "piece", "left_semi").join(known, "piece")
+    """The same for a held-out set of any size: hashes of pieces and of the documents' windows meet by shuffle, without any text.
+
+    Only the documents and passages with a hit are then joined by their keys, and each pair is verified on its whole text.
+    """
+    docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    held = held.withColumn("item_key", F.xxhash64("item_id", "passage"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(())
+        for batch in batches:
+            rows = []
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashed = windows.hashed(windows.words(text))
+                rows += [(key, int(windows.of(hashed[at : at + size], size)[0]), at, size) for at, size in pieces(len(hashed))]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["item_key", "piece", "at", "size"])
+
+    known = cut(held.select("item_key", "passage").mapInArrow(split, "item_key bigint, piece bigint, at int, size int"))
+    sizes = [r[0] for r in known.select("size").distinct().collect()]
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(sizes)
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashed = windows.hashed(windows.words(text))
+                for s in windows.sizes:
+                    w = windows.of(hashed, s)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key), pa.int64()), pa.array(w, pa.int64()), pa.array(np.arange(len(w)), pa.int32())], ["doc_key", "piece", "pos"])
+
+    slid = docs.select("doc_key", "text").mapInArrow(slide, "doc_key bigint, piece bigint, pos int")
+    met = cut(slid.join(known.select("piece").distinct(), "piece", "left_semi"))
+    hits = tiled_join(met, known, "piece", "doc_key", "item_key").groupBy("doc_key", "item_key").agg(F.collect_set(F.struct("at", "size", "pos")).alias("hits"))
+    pairs = hits.join(docs, "doc_key").join(held, "item_key").select("doc_id", "item_id", "text", "passage", "hits")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(())
         for batch in batches:
             rows = []
-            for doc, item, at, pos, passage, near in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "p_at", "d_at", "passage", "near"))):
-                if near[pos : pos + PIECE] == passage[at : at + PIECE]:
-                    rows.append((doc, item, *verify(passage, near, at, pos), len(passage)))
+            for doc, item, text, passage, where in zip(*(c.to_pylist() for c in batch.columns)):
+                words = windows.words(passage)
+                rows.append((doc, item, *verify(words, windows.words(text), [(h["at"], h["size"], h["pos"]) for h in where]), len(pieces(len(words))) - 1, len(words)))
             yield _batch(rows)
 
-    return hits.select("doc_id", "item_id", "p_at", "d_at", "passage", "near").mapInArrow(check, HITS).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"), F.max("words").alias("words"))
+    return _verified(pairs.mapInArrow(check, HITS))
 
 
 def p7_found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the document has at least RUN consecutive words of the item's passage."""
-    return leaks(documents, items).where(F.col("run") >= RUN).select("doc_id", "item_id")
+    return leaks(documents, items).where("part_edits = 0").select("doc_id", "item_id")
 
 
 def p7_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, documents, whole, longest_run, least_edits) per item that leaked; whole counts the documents with all of it."""
-    found = leaks(documents, items).where(F.col("run") >= RUN)
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum((F.col("edits") == 0).cast("bigint")).alias("whole"), F.max("run").alias("longest_run"), F.min("edits").alias("least_edits"))
+    """(item_id, documents, parts, whole, edited, longest_run, least_edits) per item that leaked.
+
+    parts counts the documents with RUN of its words in a row, whole those with all of it, edited those with all of it within its budget of edits.
+    """
+    found = leaks(documents, items)
+    n = lambda c: F.count_if(F.expr(c))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), n("part_edits = 0").alias("parts"), n("edits = 0").alias("whole"), n("edits > 0 and edits <= budget").alias("edited"), F.max("run").alias("longest_run"), F.min("edits").alias("least_edits"))

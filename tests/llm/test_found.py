@@ -81,11 +81,17 @@ def test_copies(spark):
     assert rows(p1_copies.p1_found(df.limit(0))) == [] and rows(p1_copies.p1_distinct(df.limit(0))) == []
 
 
-def test_full_filter_loses_no_repeat(spark, monkeypatch):
-    monkeypatch.setattr(p1_copies, "MAX_FILTER_BITS", p1_copies.SEGMENT_BITS)
-    data = [(i, f"w{i % 15000}", None) for i in range(30_000)]
-    keys = p1_copies.digests(spark.createDataFrame(data, PROMPTS)).repartition(20)
-    assert p1_copies.mark_repeats(keys, 30_000).where("maybe_repeat").count() == 30_000
+def test_filter_grows_with_the_records(spark, monkeypatch):
+    """Every repeat passes a filter of several passes, and few singletons do."""
+    data = [(i, f"w{i % 15000}" if i < 30_000 else f"s{i}", None) for i in range(60_000)]
+    keys = p1_copies.digests(spark.createDataFrame(data, PROMPTS)).repartition(20).cache()
+    monkeypatch.setattr(p1_copies, "PASS_SEGMENTS", 3)
+    monkeypatch.setattr(p1_copies, "CHUNK", 1000)
+    marked = p1_copies.mark_repeats(keys, 60_000)
+    repeats, singles = marked.where("record_id < 30000"), marked.where("record_id >= 30000")
+    assert repeats.where("maybe_repeat").count() == 30_000 == singles.count()
+    assert singles.where("maybe_repeat").count() < 600
+    assert p1_copies.repeat_filter(keys, 60_000)[1] == 11 and p1_copies.repeat_filter(keys, 120_000)[1] == 22
 
 
 def test_stale_hashes(spark):
@@ -94,6 +100,8 @@ def test_stale_hashes(spark):
     good = hashlib.sha256(b"a b").hexdigest()[:16]
     df = frame(spark, PROMPTS, [(1, "a b", good.upper()), (2, "A b", good), (3, "a-b", ""), (4, "c", None)])
     assert rows(p1_copies.p1_distinct(df).select("record_id", "copies", "saved_hashes", "stale_hashes")) == [(1, 3, 2, 1), (4, 1, 0, 0)]
+    again = frame(spark, PROMPTS, [(1, "a b", good), (1, "a  b", good), (2, "A b", "x")])
+    assert rows(p1_copies.p1_distinct(again)) == [(1, 3, 3, 2)]
 
 
 def test_versions(spark):
@@ -332,12 +340,35 @@ def test_leaks(spark):
     assert rows(p7_leaks.p7_found(ddf.limit(0), idf)) == rows(p7_leaks.p7_items(ddf, idf.limit(0))) == []
 
 
+def test_pieces():
+    """One piece more than the budget, all words covered, none longer than half a run."""
+    for n in range(200):
+        parts = p7_leaks.pieces(n)
+        assert bool(parts) == (n >= p7_leaks.PIECE)
+        assert [a for a, _ in parts] == [sum(s for _, s in parts[:i]) for i in range(len(parts))] and sum(s for _, s in parts) in (0, n)
+        assert all(s <= p7_leaks.RUN // 2 for _, s in parts)
+
+
+def test_edited_leaks(spark):
+    """A passage with an edit in every six words has no run of 12, but is within its budget; one edit more in each piece is not. Both paths agree."""
+    words = [f"w{i}" for i in range(60)]
+    six = [w if i % 6 != 3 else "edit" for i, w in enumerate(words)]
+    three = [w if i % 3 != 1 else "edit" for i, w in enumerate(words)]
+    docs = frame(spark, "doc_id bigint, text string", [(1, " ".join(["far"] * 30 + six)), (2, " ".join(three)), (3, " ".join(["off"] * 9 + words[20:33] + ["on"])), (4, " ".join(words[20:31])), (4, " ".join(["a"] * 500 + words))])
+    items = frame(spark, "item_id bigint, passage string", [(7, " ".join(words)), (7, "x y"), (8, "a b c d e")])
+    for limit in (0, 10**6):
+        got = {(r["doc_id"], r["item_id"]): (r["run"], r["part_edits"], r["edits"]) for r in p7_leaks.leaks(docs, items, limit).collect()}
+        assert got == {(1, 7): (5, 2, 10), (3, 7): (13, 0, 47), (4, 7): (60, 0, 0)}
+    assert rows(p7_leaks.p7_found(docs, items)) == [(3, 7), (4, 7)]
+    assert rows(p7_leaks.p7_items(docs, items)) == [(7, 3, 2, 1, 1, 60, 0)]
+
+
 def test_long_leaks_by_shuffle(spark):
-    """A passage of more words than the shuffled search once kept is found whole by both paths."""
+    """A passage of many words is found whole by both paths."""
     words = [f"w{i}" for i in range(900)]
     docs = spark.createDataFrame([(1, " ".join(["far"] * 300 + words + ["off"] * 300))], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, passage string")
-    assert rows(p7_leaks.leaks(docs, items, 0)) == rows(p7_leaks.leaks(docs, items)) == [(1, 7, 900, 0, 900)]
+    assert rows(p7_leaks.leaks(docs, items, 0)) == rows(p7_leaks.leaks(docs, items)) == [(1, 7, 900, 0, 0, 179, 900)]
 
 
 def test_mix(spark):
