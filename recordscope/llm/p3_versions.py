@@ -1,7 +1,7 @@
 """Problem 3: near-duplicate records with small edits.
 
 Records that copy each other (problem 1) are first reduced to one representative. Two representatives are
-versions if they share at least 0.7 of the distinct word sequences that either has. Candidates are exact: under one
+versions if they share at least 0.7 of the distinct word sequences of either, so of the larger set. Candidates are exact: under one
 global order of the sequences, rare ones first by their exact counts, two versions share a sequence of their prefixes. The
 records that share a prefix sequence form a block; inside the blocks bit-sliced Hamming distances of
 parity signatures leave the pairs within the radius that the threshold allows, and the sets decide.
@@ -53,18 +53,19 @@ def prefix_length(n: Column) -> Column:
 
 
 def reach(n: np.ndarray) -> np.ndarray:
-    """Most sequences in which a record with n of them and any version of it can differ: the largest version has n * 10 / TENTHS."""
-    return n * 10 // TENTHS - n
+    """Most sequences in which a record with n of them and any version of it can differ; versions of one size differ most."""
+    return 2 * n * (10 - TENTHS) // 10
 
 
 def radius(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Most sequences in which versions with n and m sequences can differ: they share TENTHS / (10 + TENTHS) of n + m at least."""
-    return n + m - 2 * -(-TENTHS * (n + m) // (10 + TENTHS))
+    """Most sequences in which versions with n and m sequences can differ; negative if they can't be versions."""
+    more, less = np.maximum(n, m), np.minimum(n, m)
+    return np.where(10 * less >= TENTHS * more, n + m - 2 * -(-TENTHS * more // 10), -1)
 
 
 def shares_enough(shared: Column, n: Column, m: Column) -> Column:
-    """Whether two sets of n and m entries have at least TENTHS tenths of their union in common."""
-    return shared * 10 >= (n + m - shared) * TENTHS
+    """Whether two sets of n and m entries have at least TENTHS tenths of either in common."""
+    return shared * 10 >= F.greatest(n, m) * TENTHS
 
 
 def sets_of(texts: DataFrame) -> DataFrame:

@@ -76,11 +76,11 @@ def entry_sets(records: DataFrame) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame) -> DataFrame:
-    """(e, t): all pairs of an evaluation set and a training set, not the same set, that share enough of their union."""
+    """(e, t): all pairs of an evaluation set and a training set, not the same set, that share enough of either."""
     posted = cut(prefixes(sets, "set_id", "train", "evaluation"))
     index = posted.where("evaluation").select("token", F.col("position").alias("pe"), F.col("n").alias("ne"), F.col("set_id").alias("e"))
     probe = posted.where("train").select("token", F.col("position").alias("pt"), F.col("n").alias("nt"), F.col("set_id").alias("t"))
-    need = F.ceil((F.col("ne") + F.col("nt")) * TENTHS / F.lit(10 + TENTHS))
+    need = F.ceil(F.greatest("ne", "nt") * TENTHS / F.lit(10))
     found = tiled_join(index, probe, "token", "e", "t").where(
         (F.col("e") != F.col("t")) & (F.least("ne", "nt") * 10 >= F.greatest("ne", "nt") * TENTHS) & (F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) >= need)
     ).select("e", "t").distinct()
