@@ -1,12 +1,13 @@
 """Problem 2: text cut off by field limits, in the middle of a transfer or anywhere else.
 
-Three sources of evidence:
-
-- histograms of the lengths, in characters and in bytes, per source and column: a length that comes far more
-  often than its neighbours is a limit;
-- the structure of the value: brackets, JSON strings, code fences and tags that are never closed;
-- its end: text without terminal punctuation breaks off, unless it is a closing line, a list item or a
-  short answer, that is, unless the collection ends other values with the same line.
+Three sources of evidence, each of its own:
+
+- limit: histograms of the lengths, in characters and in bytes, per source and column. A length that comes far more often than its
+  neighbours is a limit, at the maximum of the source or, where a limit holds for a part of its calls, below. A value of that
+  length that lacks terminal punctuation is cut, whatever its last line;
+- structure: brackets, JSON strings, code fences and tags that are never closed, and running text without terminal punctuation;
+- line: a short last line without terminal punctuation is a closing line, a list item or a short answer if a certain share of the
+  collection's values end with it; else the value is cut.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordscope.session import cut
+
 #: A length is a spike if at least SPIKE_LEAST values have it and SPIKE_TIMES as many as lengths in the SPIKE_SPAN around it on average.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_SPAN = 5, 8.0, 50
 #: Lengths under SPIKE_PART * SPIKE_SPAN have neighbours within that part of themselves; a limit leaves so much of its values unfinished.
 SPIKE_PART, SPIKE_UNFINISHED = 4, 0.5
-#: A last line without terminal punctuation is whole if so many values end with it; at a spike length, so many.
-KNOWN_ENDS, KNOWN_ENDS_AT_SPIKE = 3, 6
+#: A last line without terminal punctuation is whole if it makes up so much of all such lines; fewer than LEAST_ENDS show nothing.
+KNOWN_SHARE, LEAST_ENDS = 0.001, 3
+#: A limit is at the maximum of its source if no more than this share of the values are longer.
+ABOVE_MAXIMUM = 0.01
 #: Longer last lines are running text, which needs terminal punctuation.
 UNIT_CHARS, UNIT_WORDS = 80, 8
 
@@ -160,10 +165,11 @@ def source_name(col: str) -> Column:
 def length_spikes(measured: DataFrame, source: list[str]) -> DataFrame:
     """(*source, measure, length, values, share) of the lengths that come far more often than their neighbours.
 
-    ``measured`` has chars, bytes and unfinished; the histograms are per source. A spike is a limit only if most of its values
-    break off by the other rules, so an answer that is often repeated is none. Longer values don't count against it, since a limit may
+    ``measured`` has chars, bytes and whole (line_ends()); the histograms are per source. A spike is a limit only if most of its values
+    show no end of their own, so an answer that is often repeated is none. Longer values don't count against it, since a limit may
     hold for a part of a source's calls; top is the share of the source's values that are no longer than the spike.
     """
+    measured = measured.withColumn("unfinished", ~F.col("whole"))
     both = measured.where("chars > 0").select(*source, "unfinished", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length")))).alias("m")).select(*source, "unfinished", "m.*")
     bars = both.groupBy(*source, "measure", "length").agg(F.count("*").alias("values"), F.avg(F.col("unfinished").cast("int")).alias("unfinished"))
     by = Window.partitionBy(*source, "measure")
@@ -177,23 +183,31 @@ def length_spikes(measured: DataFrame, source: list[str]) -> DataFrame:
 
 
 def line_ends(rows: DataFrame) -> DataFrame:
-    """``rows`` of endings() with whole, and whole_at_spike if the value has a length of a limit, and unfinished, which no spike decides."""
+    """``rows`` of endings() with whole: whether the structure and the last line show a finished value."""
     # how often the collection has each line at an end, and as an earlier item of a list
     ends = rows.where("state = 'line'").groupBy("unit").agg(F.count("*").alias("ends"))
     inner = rows.select(F.explode("items").alias("unit")).groupBy("unit").agg(F.count("*").alias("inner"))
-    lines = ends.join(inner, "unit", "full").select("unit", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inner", F.lit(0)).alias("inner"))
-    whole = lines.withColumn("n", F.col("ends") + F.col("inner"))
+    lines = ends.join(inner, "unit", "full").select("unit", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inner", F.lit(0)).alias("inner")).withColumn("n", F.col("ends") + F.col("inner"))
+    lines = cut(lines)
+    enough = max(LEAST_ENDS, KNOWN_SHARE * (lines.agg(F.sum("ends")).first()[0] or 0))
     # a line that is the beginning of a more frequent line was cut
-    longer = whole.where(F.col("n") >= KNOWN_ENDS).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1))), lambda i: F.substring("unit", 1, i))).alias("unit"), F.length("unit").alias("_l")).groupBy("unit").agg(F.max("n").alias("longer"))
-    known = whole.where("ends > 0").join(longer, "unit", "left").select("unit", F.col("ends").alias("_ends"), F.col("inner").alias("_inner"), F.col("n").alias("_n"), F.coalesce("longer", F.lit(0)).alias("_longer"))
-    is_whole = lambda enough: F.coalesce(((F.col("_ends") >= enough) | (F.col("_inner") >= 1)) & (F.col("_n") >= F.col("_longer")), F.lit(False))
-    lined = rows.where("state = 'line'").join(known, "unit", "left").withColumns({"whole": is_whole(KNOWN_ENDS), "whole_at_spike": is_whole(KNOWN_ENDS_AT_SPIKE)}).drop("_ends", "_inner", "_n", "_longer")
-    rest = rows.where("state <> 'line'").withColumns({"whole": F.col("state") != "cut", "whole_at_spike": F.col("state") != "cut"})
-    return lined.unionByName(rest).withColumn("unfinished", ~F.col("whole"))
+    longer = lines.where(F.col("n") >= enough).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1))), lambda i: F.substring("unit", 1, i))).alias("unit")).groupBy("unit").agg(F.max("n").alias("longer"))
+    known = lines.where("ends > 0").join(longer, "unit", "left").select("unit", (((F.col("ends") >= enough) | (F.col("inner") >= 1)) & (F.col("n") >= F.coalesce("longer", F.lit(0)))).alias("whole"))
+    lined = rows.where("state = 'line'").join(known, "unit", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    return lined.unionByName(rows.where("state <> 'line'").withColumn("whole", F.col("state") != "cut"))
+
+
+def decided(rows: DataFrame, source: list[str]) -> DataFrame:
+    """``rows`` of endings() with at_spike and evidence: limit, structure or line for a value that is cut, else null."""
+    ended = cut(line_ends(rows))
+    spikes = length_spikes(ended, source).groupBy(*source).agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("_bytes"))
+    at = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False))
+    evidence = F.when(F.col("at_spike") & F.col("state").isin("cut", "line"), "limit").when(F.col("state") == "cut", "structure").when((F.col("state") == "line") & ~F.col("whole"), "line")
+    return ended.join(spikes, source, "left").withColumn("at_spike", at).drop("_chars", "_bytes").withColumn("evidence", evidence)
 
 
 def classified(calls: DataFrame, key: str = "call_id", text: str = "output", source: tuple[str, ...] = ("provider", "model", "call_type"), latest: str | None = "ingested_at") -> DataFrame:
-    """(key, *source, chars, bytes, at_spike, cut) of each value, each key once.
+    """(key, *source, chars, bytes, at_spike, evidence) of each value, each key once; evidence is null for a value that is not cut.
 
     Of rows with one key the latest counts (by ``latest``, then the longest value). Null and blank values are
     not cut. Rows with a null key are left out. Sources are compared without case and outer blanks; a null source
@@ -201,31 +215,29 @@ def classified(calls: DataFrame, key: str = "call_id", text: str = "output", sou
     """
     named = calls.where(F.col(key).isNotNull()).select(F.col(key), *(source_name(c).alias(c) for c in source), (F.col(latest) if latest else F.lit(None).cast("timestamp")).alias("_latest"), F.col(text).cast("string").alias(text))
     rows = endings(named, text, key, *source, "_latest").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "state", "unit"))).where("_n = 1").drop("_n", "_latest")
-    from recordscope.session import cut as keep
-
-    rows = line_ends(keep(rows))
-    limit = list(source[:2])
-    spikes = length_spikes(rows, limit).groupBy(*limit).agg(F.collect_set(F.when(F.col("measure") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("measure") == "bytes", F.col("length"))).alias("_bytes"))
-    at = F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False))
-    rows = rows.join(spikes, limit, "left").withColumn("at_spike", at)
-    return rows.select(key, *source, "chars", "bytes", "at_spike", (~F.when(F.col("at_spike"), F.col("whole_at_spike")).otherwise(F.col("whole"))).alias("cut"))
+    return decided(cut(rows), list(source[:2])).select(key, *source, "chars", "bytes", "at_spike", "evidence")
 
 
 def p2_found(calls: DataFrame) -> DataFrame:
     """(call_id) of every call, each once, whose output breaks off."""
-    return classified(calls).where("cut").select("call_id")
+    return classified(calls).where("evidence is not null").select("call_id")
+
 
+def p2_rates(calls: DataFrame, text: str = "output") -> DataFrame:
+    """(provider, model, call_type, calls, cut, at_limit, cut_share): how often each source breaks off, and how often by a length limit."""
+    rows = classified(calls, text=text).groupBy("provider", "model", "call_type").agg(F.count("*").alias("calls"), F.count("evidence").alias("cut"), F.count_if(F.col("evidence") == "limit").alias("at_limit"))
+    return rows.withColumn("cut_share", F.round(F.col("cut") / F.col("calls"), 6))
 
-def p2_rates(calls: DataFrame) -> DataFrame:
-    """(provider, model, call_type, calls, cut, at_limit, cut_share): how often each source breaks off, and how often at a length limit."""
-    c = F.col("cut").cast("bigint")
-    return classified(calls).groupBy("provider", "model", "call_type").agg(F.count("*").alias("calls"), F.sum(c).alias("cut"), F.sum(F.when(F.col("at_spike"), c).otherwise(F.lit(0))).alias("at_limit"), F.round(F.avg(c), 6).alias("cut_share"))
 
+def p2_prompt_rates(calls: DataFrame) -> DataFrame:
+    """p2_rates() of the logged prompts."""
+    return p2_rates(calls, "input_prompt")
 
-def p2_limits(calls: DataFrame) -> DataFrame:
-    """(provider, model, measure, length, values, share, top): the length limits seen per source."""
-    from recordscope.session import cut as keep
 
-    named = calls.select(source_name("provider").alias("provider"), source_name("model").alias("model"), F.col("output").cast("string").alias("output"))
-    measured = line_ends(keep(endings(named, "output", "provider", "model")))
-    return length_spikes(measured, ["provider", "model"]).withColumns({"share": F.round("share", 6), "top": F.round("top", 6)})
+def p2_limits(calls: DataFrame, columns: tuple[str, ...] = ("input_prompt", "output")) -> DataFrame:
+    """(column, provider, model, measure, length, values, share, top, at_maximum): the length limits seen per column and source."""
+    source = ["column", "provider", "model"]
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    named = calls.select(source_name("provider").alias("provider"), source_name("model").alias("model"), each)
+    limits = length_spikes(cut(line_ends(cut(endings(named, "value", *source)))), source)
+    return limits.select(*source, "measure", "length", "values", F.round("share", 6).alias("share"), F.round("top", 6).alias("top"), (F.col("top") >= 1 - ABOVE_MAXIMUM).alias("at_maximum"))

@@ -54,6 +54,11 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return p2_cut.p2_rates(table(spark, d, "llm_calls"))
 
 
+@query("p2_prompt_rates")
+def p2_prompt_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p2_cut.p2_prompt_rates(table(spark, d, "llm_calls"))
+
+
 @query("p2_limits")
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
     return p2_cut.p2_limits(table(spark, d, "llm_calls"))
