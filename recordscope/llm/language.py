@@ -13,9 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most frequent words kept per language; languages with fewer documents than this share of all are left out.
+#: Most frequent words kept per language.
 WORDS = 2000
-LEAST_SHARE = 0.002
 #: Words of a text that must be known, and the log odds per known word, before a language is named.
 KNOWN, MARGIN = 4, 0.4
 
@@ -40,12 +39,10 @@ def word_model(documents: DataFrame, text: str = "text", label: str = "lang") ->
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     top = counts.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_k") <= WORDS)
     rows = top.join(F.broadcast(total), "lang").select("lang", "word", "n", "total").collect()
-    all_words = sum({r["lang"]: r["total"] for r in rows}.values()) or 1
-    totals = {r["lang"]: r["total"] for r in rows if r["total"] >= LEAST_SHARE * all_words}
+    totals = {r["lang"]: r["total"] for r in rows}
     seen: dict[str, dict[str, int]] = {}
     for r in rows:
-        if r["lang"] in totals:
-            seen.setdefault(r["word"], {})[r["lang"]] = r["n"]
+        seen.setdefault(r["word"], {})[r["lang"]] = r["n"]
     return {w: {g: math.log((by.get(g, 0) + 0.5) / (totals[g] + WORDS)) for g in totals} for w, by in seen.items()}
 
 

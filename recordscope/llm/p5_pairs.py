@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordscope.llm.language import guess, word_model
-from recordscope.llm.p2_cut import INVISIBLE, JSON_START, _balanced_end, classified, trim
+from recordscope.llm.p2_cut import INVISIBLE, JSON_START, _balanced_end, decided, ending, inner_items, source_name, trim
 from recordscope.operators.components import components
 from recordscope.session import cut
 
@@ -36,8 +36,8 @@ TEMPLATE_PROMPTS, REFUSAL_SHARE = 3, 0.5
 #: A form of at least USUAL of the answers of a call type is its usual one. A template is one of refusal without any phrase if
 #: it answers several call types, at least OFF_FORM of its answers lack the usual form, and at most ECHO of their words are the prompt's.
 USUAL, OFF_FORM, ECHO = 0.8, 0.2, 0.25
-#: Words that a copy may add: lead-ins and single inserted words.
-COPY_EXTRA = 6
+#: Words that a copy may add: lead-ins and single inserted words. The log keeps so many characters of a prompt.
+COPY_EXTRA, LOGGED = 6, 500
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 NOTHING = re.compile(rf"```[\w+-]*|<[^<>]*>|\bnull\b|[\s{INVISIBLE}\"'“”„«»‘’`{{}}\[\](),:;]+", re.I)
@@ -87,19 +87,13 @@ def is_copy(prompt: str | None, answer: str | None) -> bool:
     """Whether the answer is the prompt again, once or twice, with little added. A prompt that the log cut may go on in the answer."""
     if not prompt or not answer:
         return False
-    # far more or far fewer letters can't be the prompt once or twice; a prompt that the log cut must start the answer
-    if not 0.3 * len(prompt) - 40 <= len(answer) <= 5 * len(prompt) + 200 and len(prompt) < 500:
-        return False
-    p = words(prompt)
-    if len(prompt) >= 500 and len(answer) > 3 * len(prompt) and p[:2] and p[1] not in words(answer[:200]):
-        return False
-    a = words(answer)
+    p, a = words(prompt), words(answer)
     if len(p) < 3:
         return p == a and bool(p)
     for times in (1, 2):
         need = p * times
         extra = max(COPY_EXTRA, len(need) // 10)
-        if not 0.9 * len(need) <= len(a) <= len(need) + extra and not (times == 1 and len(prompt) >= 500 and len(a) > len(p)):
+        if not 0.9 * len(need) <= len(a) <= len(need) + extra and not (times == 1 and len(prompt) >= LOGGED and len(a) > len(p)):
             continue
         # words of the prompt found in order
         i = 0
@@ -220,7 +214,7 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = guess(shared.value)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(13)]
             for kind, prompt, answer in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))):
                 empty, copy = is_empty(answer), is_copy(prompt, answer)
                 opening, stated, wrong, form, said = [], False, False, None, None
@@ -242,16 +236,17 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
                     with np.errstate(over="ignore"):
                         low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1).reshape(BANDS, ROWS)
                     bands = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(low)]
-                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said)):
+                asked = xxhash.xxh3_64_intdigest(" ".join(words(prompt or ""))) - 2**63
+                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said, asked, *ending(answer), inner_items(answer))):
                     col.append(x)
-            types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64()]
-            names = ["empty", "copy", "wrong", "stated", "opening", "bands", "kind", "form", "echo"]
+            types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+            names = ["empty", "copy", "wrong", "stated", "opening", "bands", "kind", "form", "echo", "prompt_key", "state", "unit", "items"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(c, t) for c, t in zip(cols, types))], [*batch.schema.names[:-3], *names])
 
-    source = calls.select(F.col("call_id").cast("bigint"), F.col("success").cast("boolean").alias("success"), F.col("ingested_at").alias("_latest"), F.length("output").alias("chars"), F.xxhash64(F.coalesce("input_prompt", F.lit(""))).alias("prompt_key"), F.col("call_type").cast("string").alias("_k"), F.col("input_prompt").cast("string").alias("_p"), F.col("output").cast("string").alias("_o"))
+    source = calls.select(F.col("call_id").cast("bigint"), F.col("success").cast("boolean").alias("success"), F.col("ingested_at").alias("_latest"), F.length("output").alias("chars"), F.octet_length("output").alias("bytes"), source_name("provider").alias("provider"), source_name("model").alias("model"), F.col("call_type").cast("string").alias("_k"), F.col("input_prompt").cast("string").alias("_p"), F.col("output").cast("string").alias("_o"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-3])
-    rows = source.where("call_id is not null").mapInArrow(run, f"{fields}, empty boolean, copy boolean, wrong boolean, stated boolean, opening array<string>, bands array<bigint>, kind string, form string, echo double")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "opening"))).where("_n = 1").drop("_n", "_latest", "chars")
+    rows = source.where("call_id is not null").mapInArrow(run, f"{fields}, empty boolean, copy boolean, wrong boolean, stated boolean, opening array<string>, bands array<bigint>, kind string, form string, echo double, prompt_key bigint, state string, unit string, items array<string>")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc_nulls_last("_latest"), F.desc("chars"), "opening"))).where("_n = 1").drop("_n", "_latest")
 
 
 def opening_links(nodes: DataFrame) -> DataFrame:
@@ -316,7 +311,7 @@ def _between(held: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
 def refusal_templates(rows: DataFrame) -> DataFrame:
     """(opening_key, prompts, stated_share) of the openings of templates of refusal. Equal openings are one node.
 
-    Prompts are counted exactly over each cluster. Copies of the prompt are no evidence of a refusal.
+    Prompts are counted exactly over each cluster, those with the same words once. Copies of the prompt are no evidence of a refusal.
     """
     keyed = rows.where(F.size("bands") > 0).withColumn("opening_key", F.xxhash64("opening"))
     nodes = cut(keyed.groupBy("opening_key").agg(F.first("opening").alias("opening"), F.first("bands").alias("bands")))
@@ -338,24 +333,28 @@ def refusal_templates(rows: DataFrame) -> DataFrame:
 
 
 def defects(calls: DataFrame, documents: DataFrame) -> DataFrame:
-    """(call_id, success, defect) of every call, each once; defect is null for an answer.
+    """(call_id, success, defect, evidence) of every call, each once; defect is null for an answer.
 
-    The first of empty, truncated, refusal, copy and language that applies counts. Of rows with one
-    call_id the one ingested last counts. Null prompts can be neither copied nor asked in a
-    language. Rows with a null call_id are left out; empty tables give no rows; extra columns play no part.
+    The first of empty, truncated, refusal, copy and language that applies counts. evidence says how a cut answer (limit, structure,
+    line) or a refusal (template, phrase, or both) was told. Of rows with one call_id the one ingested last counts. Null
+    prompts can be neither copied nor asked in a language. Rows with a null call_id are left out; empty tables give
+    no rows; extra columns play no part.
     """
     rows = cut(features(calls, word_model(documents)))
     templates = refusal_templates(rows).select("opening_key", F.lit(True).alias("template"))
-    broken = classified(calls).where("cut").select("call_id", F.lit(True).alias("broken"))
+    ended = decided(rows.select("call_id", "chars", "bytes", "provider", "model", "state", "unit", "items"), ["provider", "model"])
+    broken = ended.where("evidence is not null").select("call_id", F.col("evidence").alias("broken"))
     told = rows.withColumn("opening_key", F.xxhash64("opening")).join(templates, "opening_key", "left").join(broken, "call_id", "left")
+    template = F.coalesce("template", F.lit(False))
     defect = (
         F.when(F.col("empty"), "empty")
-        .when(F.col("broken"), "truncated")
-        .when(F.col("stated") | F.coalesce("template", F.lit(False)), "refusal")
+        .when(F.col("broken").isNotNull(), "truncated")
+        .when(F.col("stated") | template, "refusal")
         .when(F.col("copy"), "copy")
         .when(F.col("wrong"), "language")
     )
-    return told.select("call_id", "success", defect.alias("defect"))
+    evidence = F.when(F.col("defect") == "truncated", F.col("broken")).when(F.col("defect") == "refusal", F.when(template & F.col("stated"), "template and phrase").when(template, "template").otherwise("phrase"))
+    return told.withColumn("defect", defect).select("call_id", "success", "defect", evidence.alias("evidence"))
 
 
 def p5_found(calls: DataFrame, documents: DataFrame) -> DataFrame:
@@ -364,5 +363,5 @@ def p5_found(calls: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def p5_rates(calls: DataFrame, documents: DataFrame) -> DataFrame:
-    """(defect, calls): how many calls with success true or null have each defect; sound answers are 'none'."""
-    return defects(calls, documents).where("coalesce(success, true)").groupBy(F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("calls"))
+    """(defect, evidence, calls): how many calls with success true or null have each defect, by the evidence; sound answers are 'none'."""
+    return defects(calls, documents).where("coalesce(success, true)").groupBy(F.coalesce("defect", F.lit("none")).alias("defect"), F.coalesce("evidence", F.lit("")).alias("evidence")).agg(F.count("*").alias("calls"))
