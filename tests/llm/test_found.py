@@ -118,7 +118,7 @@ def test_versions(spark):
 
     for a, b in itertools.combinations(sets, 2):
         (ca, sa), (cb, sb) = sets[a], sets[b]
-        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * len(sa | sb):
+        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * max(len(sa), len(sb)):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     df = frame(spark, PROMPTS, data)
@@ -294,7 +294,7 @@ def test_overlaps(spark):
     for a, b in itertools.permutations([r for r in data if r[0] is not None], 2):
         if a[2] == "train" and b[2].strip().lower() in ("val", "test"):
             x, y = p4_splits.leaf_entries(a[4]), p4_splits.leaf_entries(b[4])
-            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * len(x | y):
+            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * max(len(x), len(y)):
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
     df = frame(spark, GOLD, data + data[10:20])
     assert rows(p4_splits.p4_found(df)) == sorted(want, key=repr) and (903, 904) in want
@@ -416,3 +416,21 @@ def test_given_tables(spark, data, size):
     for name, f in registry.QUERIES.items():
         assert f(spark, data).columns, name
     assert table(spark, data, "documents").count() > 0
+
+
+def test_evidence(spark):
+    """Each cut value and each refusal says what told it: limits, structure and lines; templates without and with a known phrase, and a phrase alone."""
+    rng = random.Random(6)
+    text = lambda n: ("".join(rng.choice("abcde ") for _ in range(n)))[: n - 1] + "z"
+    outputs = [f"{text(rng.randint(100, 400))}." for _ in range(200)] + [text(300) for _ in range(20)] + ['{"a": [1, ', "An end with no point here", "last words of any kind", "I am un"]
+    found = p2_cut.classified(frame(spark, CALLS, calls(outputs))).where("evidence is not null")
+    assert rows(found.groupBy("evidence").count()) == [("limit", 20), ("line", 3), ("structure", 1)]
+    say = lambda i: f"That request is outside of what this desk does for Firm{i} Works."
+    known = lambda i: f"I cannot share the content of page {i}."
+    data = [("extract", f"Read page {i} of the filing.", f'{{"total": {i}}}') for i in range(30)]
+    data += [("generate", f"Why did rule {i} fail?", f"The total was read from the wrong line in run {i + 1}.") for i in range(30)]
+    data += [("extract", f"Fill the record of annex {i}.", f(i)) for i in range(3) for f in (say, known)] + [("generate", f"Improve prompt {i}.", f(i)) for i in range(2) for f in (say, known)]
+    data.append(("generate", "Write a better rule.", "My rules do not allow it, dear reader of mine."))
+    frame_ = frame(spark, CALLS, [(i, "p", "M", k, p, o, True, None) for i, (k, p, o) in enumerate(data)])
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    assert rows(p5_pairs.p5_rates(frame_, docs).where("defect = 'refusal'")) == [("refusal", "phrase", 1), ("refusal", "template", 5), ("refusal", "template and phrase", 5)]
