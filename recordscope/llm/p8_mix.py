@@ -8,17 +8,18 @@ slot of a source takes its block r, and after the last block the next round begi
 
 from __future__ import annotations
 
-import hashlib
-import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordscope.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how that tokenizer's vocabulary splits text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The schedule has at most so many slots, and a slot at least so many tokens.
 SLOTS = 1 << 20
 LEAST_SLOT = 64
@@ -36,25 +37,22 @@ def source_key(col: str) -> Column:
     return F.when(name != "", name)
 
 
-def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens, digest) of every text with a source, in tokens of a public tokenizer."""
+def sized(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, digest, tokens) of the rows (doc_id, source, digest, text), in tokens of a public tokenizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import base64
 
-        tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        count = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            counts = []
-            for i in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in tok.encode_batch(texts[i : i + 256], add_special_tokens=False)]
-            digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "source", "tokens", "digest"])
+            tokens = [len(count(t)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.int64())], ["doc_id", "source", "digest", "tokens"])
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), source_key("source").alias("source"), F.col("text").cast("string")).where("doc_id is not null and source is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, source string, tokens bigint, digest binary")
+    return rows.mapInArrow(run, "doc_id bigint, source string, digest string, tokens bigint")
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -63,10 +61,19 @@ def targets_of(targets: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int) -> DataFrame:
-    """One row per distinct text of a source with a target: its first document by doc_id."""
-    rows = sized(documents, tokenizer).where("tokens > 0").join(F.broadcast(targets.select("source")), "source", "left_semi")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d"))
-    return first.select("d.*").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    """One row per distinct text of a source with a target: its first document by doc_id.
+
+    Repeats are told by digest before anything is counted in tokens. Only they are named and taken off, so texts are not
+    shuffled where repeats are few.
+    """
+    rows = documents.select(F.col("doc_id").cast("bigint"), source_key("source").alias("source"), F.md5("text").alias("digest"), F.col("text").cast("string")).where("doc_id is not null and source is not null and text <> ''").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    keys = rows.select("digest", "doc_id", "source")
+    repeated = keys.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "source")).alias("first")).where("n > 1")
+    spare = cut(keys.join(repeated, "digest").where("struct(doc_id, source) <> first").select("digest", "doc_id", "source").distinct())
+    kept = rows.join(spare, ["digest", "doc_id", "source"], "left_anti").select("doc_id", "source", "digest", "text")
+    # rows that repeat a whole document are still one
+    once = sized(kept, tokenizer).where("tokens > 0").dropDuplicates(["digest"])
+    return once.select("doc_id", "source", "tokens").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
 
 
 def _laid_out(texts: DataFrame, buckets: int) -> DataFrame:
@@ -96,8 +103,6 @@ def _plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None) -> tup
     for r in plan:
         r["weight"] = r["target_share"] / whole
         r["low"], low = low, low + r["weight"]
-        r["high"] = low
-    plan[-1]["high"] = 2.0
     # the largest mix in which no source needs more than its repeats, unless a size is asked for
     total = total_tokens or int(min(r["tokens"] * r["max_repeats"] / r["weight"] for r in plan))
     slot = max(LEAST_SLOT, -(-total // SLOTS))
@@ -120,14 +125,22 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     texts = cut(_texts(documents, wanted, tokenizer, seed))
     plan, slot, slots = _plan(texts, wanted, total_tokens)
     known = spark.createDataFrame(
-        [(r["source"], r["target_share"], r["weight"], r["max_repeats"], r["tokens"], r["texts"], r["low"], r["high"], r["blocks"]) for r in plan],
-        "source string, target_share double, weight double, max_repeats int, tokens bigint, texts bigint, _low double, _high double, _blocks bigint",
+        [(i, r["source"], r["target_share"], r["weight"], r["max_repeats"], r["tokens"], r["texts"], r["blocks"]) for i, r in enumerate(plan)],
+        "_at int, source string, target_share double, weight double, max_repeats int, tokens bigint, texts bigint, _blocks bigint",
     )
     buckets = max(1, sum(r["texts"] for r in plan) // BUCKET_TEXTS)
     laid = _laid_out(texts, buckets).withColumn("_block", F.floor(F.col("_start") / F.lit(slot)).cast("bigint"))
-    point = (F.col("slot") + 1) * F.lit(PHI)
-    parts = F.broadcast(known.select("source", "max_repeats", "_low", "_high", "_blocks"))
-    schedule = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_u", point - F.floor(point)).join(parts, (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    point = (F.col("id") + 1) * F.lit(PHI)
+    lows = np.array([r["low"] for r in plan])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(lows, batch.column(1).to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32())], ["slot", "_at"])
+
+    # a point falls in the part whose lower bound is the last one below it
+    drawn = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u")).mapInArrow(draw, "slot bigint, _at int")
+    schedule = drawn.join(F.broadcast(known.select("_at", "source", "max_repeats", "_blocks")), "_at").drop("_at")
     schedule = schedule.withColumn("_c", F.floor(F.col("slot") / CHUNK_SLOTS))
     before = schedule.groupBy("source", "_c").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = schedule.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_c").orderBy("slot")) - 1).join(before, ["source", "_c"]).withColumn("_r", F.col("_r") + F.col("_off"))

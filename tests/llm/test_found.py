@@ -426,7 +426,7 @@ def test_evidence(spark):
     found = p2_cut.classified(frame(spark, CALLS, calls(outputs))).where("evidence is not null")
     assert rows(found.groupBy("evidence").count()) == [("limit", 20), ("line", 3), ("structure", 1)]
     say = lambda i: f"That request is outside of what this desk does for Firm{i} Works."
-    known = lambda i: f"I cannot share the content of page {i}."
+    known = lambda i: f"I cannot share the content of page {i + 3}."
     data = [("extract", f"Read page {i} of the filing.", f'{{"total": {i}}}') for i in range(30)]
     data += [("generate", f"Why did rule {i} fail?", f"The total was read from the wrong line in run {i + 1}.") for i in range(30)]
     data += [("extract", f"Fill the record of annex {i}.", f(i)) for i in range(3) for f in (say, known)] + [("generate", f"Improve prompt {i}.", f(i)) for i in range(2) for f in (say, known)]
