@@ -36,19 +36,24 @@ def words_of(form, text: str) -> list[str]:
     return WORD.findall(form(text).casefold())
 
 
-def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
-    """(least edits, end) of the best place of the whole pattern in the text: Myers' bit vectors over words, of any width."""
+def myers(pattern: list[str], text: list[str], enough: int | None = None) -> tuple[int, int]:
+    """(least edits, end) of the best place of the whole pattern in the text: Myers' bit vectors over words, of any width.
+
+    ``enough`` edits or more are of no interest: a text with too few of the pattern's words for less is not searched.
+    """
     m = len(pattern)
     if not m:
         return 0, 0
     peq: dict[str, int] = {}
     for i, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | 1 << i
+    held = [peq.get(w, 0) for w in text]
     full, top = (1 << m) - 1, 1 << (m - 1)
+    if enough is not None and m - sum(1 for x in held if x) >= enough:
+        return enough, 0
     pv, mv, score = full, 0, m
     best, end = m, 0
-    for j, w in enumerate(text):
-        eq = peq.get(w, 0)
+    for j, eq in enumerate(held):
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv) & full
@@ -67,15 +72,15 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
-def common_run(passage: list[str], text: list[str], at: int, pos: int, size: int) -> int:
-    """Words in common, consecutive in both, around a hit of ``size`` words at passage[at] and text[pos]."""
+def common_run(passage: list[str], text: list[str], at: int, pos: int, size: int) -> tuple[int, int]:
+    """Words in common, consecutive in both, before and from a hit of ``size`` words at passage[at] and text[pos] on."""
     left = 0
     while left < min(at, pos) and passage[at - left - 1] == text[pos - left - 1]:
         left += 1
     right = size
     while at + right < len(passage) and pos + right < len(text) and passage[at + right] == text[pos + right]:
         right += 1
-    return left + right
+    return left, right
 
 
 def pieces(words: int) -> list[tuple[int, int]]:
@@ -94,23 +99,20 @@ def verify(passage: list[str], text: list[str], hits: Iterable[tuple[int, int, i
     edits the least edits of the whole passage within a window as wide as the passage on both sides.
     """
     run, part, edits = 0, RUN, len(passage)
-    seen: dict[int, int] = {}
+    looked: dict[int, int] = {}
     for at, size, pos in sorted(hits, key=lambda h: h[2]):
         # a piece inside a run that was looked at already gives nothing new
-        if seen.get(pos - at, -1) >= pos + size or text[pos : pos + size] != passage[at : at + size]:
+        if looked.get(pos - at, -1) >= pos + size or text[pos : pos + size] != passage[at : at + size]:
             continue
-        here = common_run(passage, text, at, pos, size)
-        right = size
-        while at + right < len(passage) and pos + right < len(text) and passage[at + right] == text[pos + right]:
-            right += 1
-        seen[pos - at] = pos + right
-        run = max(run, here)
-        near = text[max(0, pos - RUN) : pos + size + RUN]
-        for start in range(max(0, at + size - RUN), min(at, len(passage) - RUN) + 1):
-            if part:
-                part = min(part, myers(passage[start : start + RUN], near)[0])
+        left, right = common_run(passage, text, at, pos, size)
+        looked[pos - at] = pos + right
+        run = max(run, left + right)
+        first, last = max(0, at + size - RUN), min(at, len(passage) - RUN)
+        if part and first <= last:
+            near = text[max(0, pos - RUN) : pos + size + RUN]
+            part = min(part, *(myers(passage[start : start + RUN], near, part)[0] for start in range(first, last + 1)))
         if edits:
-            edits = min(edits, myers(passage, text[max(0, pos - at - len(passage)) : pos - at + 2 * len(passage)])[0])
+            edits = min(edits, myers(passage, text[max(0, pos - at - len(passage)) : pos - at + 2 * len(passage)], edits)[0])
     return run, part, edits
 
 
