@@ -85,30 +85,28 @@ def words(text: str) -> list[str]:
 
 def is_copy(prompt: str | None, answer: str | None) -> bool:
     """Whether the answer is the prompt again, once or twice, with little added. A prompt that the log cut may go on in the answer."""
-    if not prompt or not answer:
-        return False
-    p, a = words(prompt), words(answer)
+    return bool(prompt and answer) and copied(words(prompt), words(answer), len(prompt) >= LOGGED)
+
+
+def copied(p: list[str], a: list[str], logged: bool) -> bool:
+    """is_copy() of the words of both; ``logged`` prompts have the greatest length that the log keeps."""
     if len(p) < 3:
         return p == a and bool(p)
     for times in (1, 2):
-        need = p * times
-        extra = max(COPY_EXTRA, len(need) // 10)
-        if not 0.9 * len(need) <= len(a) <= len(need) + extra and not (times == 1 and len(prompt) >= LOGGED and len(a) > len(p)):
+        size = len(p) * times
+        extra, most = max(COPY_EXTRA, size // 10), size // 10
+        if not 0.9 * size <= len(a) <= size + extra and not (times == 1 and logged and len(a) > len(p)):
             continue
         # words of the prompt found in order
-        i = 0
-        missed = 0
-        for w in need:
-            j = i
-            while j < len(a) and j <= i + extra and a[j] != w:
-                j += 1
-            if j < len(a) and a[j] == w:
-                i = j + 1
-            else:
+        i = missed = 0
+        for w in p * times:
+            try:
+                i = a.index(w, i, i + extra + 1) + 1
+            except ValueError:
                 missed += 1
-                if missed > 0.1 * len(need):
+                if missed > most:
                     break
-        if missed <= 0.1 * len(need):
+        if missed <= most:
             return True
     return False
 
@@ -193,10 +191,10 @@ def answer_form(answer: str) -> str:
     return "record" if JSON_START.search(answer) else "score" if SCORE.match(answer) else "text"
 
 
-def echo(prompt: str | None, answer: str) -> float:
+def echo(prompt: list[str], answer: list[str]) -> float:
     """The share of the answer's longer words that the prompt has too."""
-    said = {w for w in words(answer) if len(w) > 3}
-    return len(said & set(words(prompt or ""))) / max(1, len(said))
+    said = {w for w in answer if len(w) > 3}
+    return len(said.intersection(prompt)) / max(1, len(said))
 
 
 def asked_language(prompt: str, language) -> str | None:
@@ -216,10 +214,11 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[] for _ in range(13)]
             for kind, prompt, answer in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))):
-                empty, copy = is_empty(answer), is_copy(prompt, answer)
+                asked, given = words(prompt or ""), words(answer or "")
+                empty, copy = is_empty(answer), bool(prompt and answer) and copied(asked, given, len(prompt) >= LOGGED)
                 opening, stated, wrong, form, said = [], False, False, None, None
                 if not empty:
-                    form, said = answer_form(answer), echo(prompt, answer)
+                    form, said = answer_form(answer), echo(asked, given)
                     text = refusal_text(answer)
                     if text:
                         opening = masked(text)
@@ -236,8 +235,8 @@ def features(calls: DataFrame, model: dict) -> DataFrame:
                     with np.errstate(over="ignore"):
                         low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1).reshape(BANDS, ROWS)
                     bands = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(low)]
-                asked = xxhash.xxh3_64_intdigest(" ".join(words(prompt or ""))) - 2**63
-                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said, asked, *ending(answer), inner_items(answer))):
+                prompt_key = xxhash.xxh3_64_intdigest(" ".join(asked)) - 2**63
+                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said, prompt_key, *ending(answer), inner_items(answer))):
                     col.append(x)
             types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
             names = ["empty", "copy", "wrong", "stated", "opening", "bands", "kind", "form", "echo", "prompt_key", "state", "unit", "items"]

@@ -118,7 +118,7 @@ def test_versions(spark):
 
     for a, b in itertools.combinations(sets, 2):
         (ca, sa), (cb, sb) = sets[a], sets[b]
-        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * max(len(sa), len(sb)):
+        if ca == cb or sa and sb and 10 * len(sa & sb) >= 7 * len(sa | sb):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     df = frame(spark, PROMPTS, data)
@@ -294,7 +294,7 @@ def test_overlaps(spark):
     for a, b in itertools.permutations([r for r in data if r[0] is not None], 2):
         if a[2] == "train" and b[2].strip().lower() in ("val", "test"):
             x, y = p4_splits.leaf_entries(a[4]), p4_splits.leaf_entries(b[4])
-            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * max(len(x), len(y)):
+            if key(a[1]) and key(a[1]) == key(b[1]) or x and y and 10 * len(x & y) >= 7 * len(x | y):
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
     df = frame(spark, GOLD, data + data[10:20])
     assert rows(p4_splits.p4_found(df)) == sorted(want, key=repr) and (903, 904) in want
@@ -433,4 +433,4 @@ def test_evidence(spark):
     data.append(("generate", "Write a better rule.", "My rules do not allow it, dear reader of mine."))
     frame_ = frame(spark, CALLS, [(i, "p", "M", k, p, o, True, None) for i, (k, p, o) in enumerate(data)])
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
-    assert rows(p5_pairs.p5_rates(frame_, docs).where("defect = 'refusal'")) == [("refusal", "phrase", 1), ("refusal", "template", 5), ("refusal", "template and phrase", 5)]
+    assert rows(p5_pairs.p5_rates(frame_, docs).where("defect = 'refusal'")) == [("refusal", "phrase", 1), ("refusal", "template and phrase", 5), ("refusal", "template", 5)]
