@@ -141,8 +141,62 @@ def prepared(metric: str, p: Column, g: Column, a: Column, b: Column, ratio: Col
     return F.lit(0.0)
 
 
-def dispatch(rows: DataFrame, metric: str, predicted: str, gold: str, tolerance: str | None = None, only: set[str] | None = None) -> DataFrame:
-    """``rows`` with a column score: the metric that each row names, of its two text values; unknown metrics score 0.
+def _quoted(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
+
+
+def _shown(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def _truth(c: Column) -> Column:
+    return F.when(to_bool(c), "True").otherwise("False")
+
+
+def reason(metric: str, p: Column, g: Column, a: Column, b: Column, told: Column, limit: Column | None = None) -> Column:
+    """In words, why the metric gave the score ``told``, from what prepared() takes.
+
+    Fixed values: the wording, which readers of the results search for. Texts stand in single quotes, a missing one is None.
+    """
+    text = lambda x: _quoted(x)
+    both, one = p.isNull() & g.isNull(), p.isNull() | g.isNull()
+    null = F.concat(F.lit("Null mismatch: pred="), text(p), F.lit(", gold="), text(g))
+    kind = F.concat(F.lit("Null/type mismatch: pred="), text(p), F.lit(", gold="), text(g))
+    versus = lambda what, x, y: F.concat(F.lit(what), x, F.lit(" != "), y)
+    full = told == 1.0
+    if metric == "string_exact":
+        out = F.when(full, "Exact match").otherwise(versus("Mismatch: ", text(p), text(g)))
+    elif metric == "string_case_insensitive":
+        out = F.when(full, "Case-insensitive match").otherwise(versus("Mismatch (ci): ", text(p), text(g)))
+    elif metric in CLOSE:
+        ratio = F.format_string("Fuzzy ratio=%.3f", told)
+        out = F.when(p == g, "Exact match (semantic shortcut)").otherwise(ratio) if metric == "string_semantic" else ratio
+    elif metric == "array_llm":
+        n, m = F.size(items_of(p)), F.size(items_of(g))
+        count = lambda what, k: F.concat(F.lit(what), k.cast("string"), F.lit(" items"))
+        return F.when((n == 0) & (m == 0), "Both empty arrays").when(m == 0, count("Gold is empty but predicted has ", n)).when(n == 0, count("Predicted is empty but gold has ", m)).otherwise(F.format_string("Set overlap=%.3f", told))
+    elif metric in ("integer_exact", "number_exact", "number_tolerance", "boolean_exact"):
+        if metric == "integer_exact":
+            x, y = (_shown(n.try_cast("bigint")) for n in (a, b))
+            said = F.when(full, F.concat(F.lit("Exact integer match: "), x)).otherwise(versus("Integer mismatch: ", x, y))
+        elif metric == "number_exact":
+            said = F.when(full, F.concat(F.lit("Exact number match: "), _shown(a))).otherwise(versus("Number mismatch: ", _shown(a), _shown(b)))
+        elif metric == "boolean_exact":
+            said = F.when(full, F.concat(F.lit("Boolean match: "), _truth(p))).otherwise(versus("Boolean mismatch: ", _truth(p), _truth(g)))
+        else:
+            most = F.lit(TOLERANCE) if limit is None else limit
+            error = F.format_string("%.6f", F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-9)))
+            said = F.when(full, F.concat(F.lit("Within tolerance: err="), error, F.lit(" <= "), most.cast("string"))).otherwise(F.concat(F.lit("Outside tolerance: err="), error, F.lit(" > "), most.cast("string")))
+        x, y = (to_bool(p), to_bool(g)) if metric == "boolean_exact" else (a, b)
+        # two values that are no numbers count as missing
+        return F.when(x.isNull() & y.isNull(), "Both null").when(x.isNull() | y.isNull(), kind).otherwise(said)
+    else:
+        return F.lit(f"Unknown metric: {metric}")
+    return F.when(both, "Both null").when(one, null).otherwise(out)
+
+
+def dispatch(rows: DataFrame, metric: str, predicted: str, gold: str, tolerance: str | None = None, only: set[str] | None = None, reasons: bool = False) -> DataFrame:
+    """``rows`` with a column score, and reason if asked for: the metric that each row names, of its two text values; unknown metrics score 0.
 
     Coercions are columns of their own, so each is computed once a row, and the ratio only sees the rows that need it.
     ``only`` names the metrics that can occur, where the caller knows them; without ratio metrics no Python runs.
@@ -158,7 +212,13 @@ def dispatch(rows: DataFrame, metric: str, predicted: str, gold: str, tolerance:
     told = F.lit(0.0)
     for n in names:
         told = F.when(m == n, prepared(n, p, g, F.col("_fp"), F.col("_fg"), ratio, limit)).otherwise(told)
-    return ready.withColumn("score", told).drop("_p", "_g", "_fp", "_fg", "_ratio")
+    ready = ready.withColumn("score", told)
+    if reasons:
+        why = F.concat(F.lit("Unknown metric: "), F.coalesce(m, F.lit("None")))
+        for n in names:
+            why = F.when(m == n, reason(n, p, g, F.col("_fp"), F.col("_fg"), F.col("score"), limit)).otherwise(why)
+        ready = ready.withColumn("reason", why)
+    return ready.drop("_p", "_g", "_fp", "_fg", "_ratio")
 
 
 def pass_threshold(metric: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
 from recordscope.functions.coerce import strip
 
@@ -45,38 +47,38 @@ def parse_json(text: Column) -> Column:
     return F.coalesce(*(F.try_parse_json(c) for c in json_candidates(text)))
 
 
+#: What matters to find the open brackets of JSON text: strings, also one that is never closed, and brackets.
+JSON_SIGNS = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
+FENCE = re.compile(r"^```[a-zA-Z]*\s*(.*?)\s*(?:```)?$", re.S)
+
+
 def repaired(raw: str) -> str:
-    """JSON text with its open brackets closed; an open string is left open."""
-    todo, quoted, escaped = [], False, False
-    for c in raw:
-        if escaped:
-            escaped = False
-        elif quoted:
-            escaped, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            todo.append("}" if c == "{" else "]")
-        elif c in "}]" and todo:
-            todo.pop()
-    return raw.rstrip().rstrip(",") + "".join(reversed(todo))
+    """JSON text without a trailing comma and with its open brackets closed; an open string is left open."""
+    signs = [s for s in JSON_SIGNS.findall(raw) if s[0] != '"']
+    open_ = 0
+    # from the end, every bracket that no later one answers
+    tail = []
+    for s in reversed(signs):
+        if s in "}]":
+            open_ += 1
+        elif open_:
+            open_ -= 1
+        else:
+            tail.append({"{": "}", "[": "]"}[s])
+    return raw.rstrip().rstrip(",") + "".join(tail)
 
 
 def parse_lenient(text: str | None) -> str | None:
-    """The object of a response as JSON text: fences stripped, parsed, else repaired and parsed, else ``{}``."""
+    """The JSON value of a response: fences stripped, also on one line, parsed, else repaired and parsed, else ``{}``."""
     if text is None:
         return None
     raw = text.strip()
-    if raw.startswith("```"):
-        raw = raw.split("\n", 1)[-1] if "\n" in raw else raw.lstrip("`")
-    if raw.endswith("```"):
-        raw = raw[:-3]
-    for candidate in (raw.strip(), repaired(raw.strip())):
+    raw = FENCE.sub(r"\1", raw) if raw.startswith("```") else raw.removesuffix("```").strip()
+    for candidate in (raw, repaired(raw)):
         try:
-            found = json.loads(candidate)
+            return json.dumps(json.loads(candidate))
         except (ValueError, RecursionError):
             continue
-        return json.dumps(found) if isinstance(found, dict) else "{}"
     return "{}"
 
 
@@ -91,14 +93,17 @@ def leaves(value: object, depth: int = 0) -> int:
     return sum(leaves(x, depth + 1) for x in inner) if inner and depth <= 20 else 1
 
 
-@F.pandas_udf(LongType())
-def leaf_count_udf(text: pd.Series) -> pd.Series:
-    """Leaves of JSON text; 0 for text that is missing or broken."""
+def leaf_count(text: Column) -> Column:
+    """Leaves of JSON text: scalars and nulls, and empty lists and objects; 0 for text that is missing or broken.
+
+    Every leaf but the first has a comma before it that stands outside strings, so commas are counted. Members of
+    one name make a record broken, and unlike in leaves() there is no bound on depth.
+    """
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(",")))
+    return F.when(F.try_parse_json(text).isNotNull(), commas + 1).otherwise(0).cast("bigint")
 
-    def count(t: str | None) -> int:
-        try:
-            return leaves(json.loads(t)) if t is not None else 0
-        except (ValueError, RecursionError):
-            return 0
 
-    return text.map(count)
+@F.pandas_udf(StringType())
+def unified_diff_udf(old: pd.Series, new: pd.Series, old_name: pd.Series, new_name: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else "\n".join(difflib.unified_diff(a.splitlines(keepends=True), b.splitlines(keepends=True), fromfile=x, tofile=y, lineterm="")) for a, b, x, y in zip(old, new, old_name, new_name)], dtype="object")

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordscope.functions.hashing import prompt_hash
+from recordscope.functions.metrics import ratio_udf
+from recordscope.functions.text import unified_diff_udf
 from recordscope.operators.scan import running
 
 STALL, DROP, GAP, EVERY, RECENT, WORST = 3, 0.05, 0.1, 3, 5, 5
+#: A prompt with a greater ratio to the best one so far is a near copy of it.
+NEAR_COPY = 0.95
 
 
 def iterations(history: DataFrame) -> DataFrame:
@@ -40,6 +44,33 @@ def duplicate_prompts(history: DataFrame) -> DataFrame:
     return keyed.join(first, ["run_id", "h"]).where("iteration > first_iteration").select("run_id", "iteration", "first_iteration")
 
 
+def near_copies(history: DataFrame) -> DataFrame:
+    """(run_id, iteration, best_iteration, ratio): prompts with a ratio above NEAR_COPY to the run's best prompt before them.
+
+    The best prompt is that of the last improvement. Null prompts are near copies of none. The ratio sees each distinct pair of prompts once.
+    """
+    marked = greedy(history).select("run_id", "iteration", "prompt", F.when(F.col("improved"), F.col("iteration")).alias("hit"))
+    told = running(marked, ["run_id"], ["iteration"], before_hit=("max", F.col("hit"))).where("before_hit is not null and prompt is not null")
+    best = marked.where("hit is not null and prompt is not null").select("run_id", F.col("iteration").alias("before_hit"), F.col("prompt").alias("best"))
+    both = told.join(best, ["run_id", "before_hit"])
+    pairs = both.select("best", "prompt").distinct().withColumn("ratio", ratio_udf("best", "prompt")).where(F.col("ratio") > NEAR_COPY)
+    return both.join(pairs, ["best", "prompt"]).select("run_id", "iteration", F.col("before_hit").alias("best_iteration"), F.round("ratio", 6).alias("ratio"))
+
+
+def prompt_at(history: DataFrame, iteration: int) -> DataFrame:
+    """(run_id, iteration, prompt) of one iteration of each run, or of its first where the run has no such iteration."""
+    wanted = F.max_by(F.struct("iteration", "prompt"), F.struct((F.col("iteration") == iteration), -F.col("iteration"))).alias("r")
+    return history.groupBy("run_id").agg(wanted).select("run_id", "r.iteration", "r.prompt")
+
+
+def prompt_diffs(history: DataFrame) -> DataFrame:
+    """(run_id, iteration, previous, diff): the unified diff of each accepted prompt with the one accepted before it."""
+    steps = accepted_steps(history).select("run_id", "iteration", "previous", "prompt")
+    before = steps.select("run_id", F.col("iteration").alias("previous"), F.col("prompt").alias("old"))
+    name = lambda c: F.concat(F.lit("iteration_"), F.col(c).cast("string"))
+    return steps.where("previous is not null").join(before, ["run_id", "previous"]).select("run_id", "iteration", "previous", unified_diff_udf("old", "prompt", name("previous"), name("iteration")).alias("diff"))
+
+
 def accepted_steps(history: DataFrame) -> DataFrame:
     """The accepted records with previous, the iteration accepted before them in the run."""
     kept = history.where("accepted")

@@ -50,4 +50,15 @@ def exhaustion(priced_calls: DataFrame, max_calls: int, max_tokens: int, max_cos
 def log_lines(calls: DataFrame) -> DataFrame:
     """(call_id, line): each call as a JSON line with nulls kept, costs with 6 and latencies with 3 decimals."""
     fields = ["logged_at", "call_type", "provider", "model", "input_tokens", "output_tokens", "total_tokens"]
-    return calls.select("call_id", F.to_json(F.struct(*(F.col(c).cast("string") if c == "logged_at" else F.col(c) for c in fields), F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"), F.round("latency_seconds", 3).alias("latency_seconds"), "success", F.col("error_text").alias("error")), {"ignoreNullFields": "false"}).alias("line"))
+    fixed = lambda c, n: F.round(c, n).cast(f"decimal(20,{n})")
+    return calls.select("call_id", F.to_json(F.struct(*(F.col(c).cast("string").alias(c) if c == "logged_at" else F.col(c) for c in fields), fixed("estimated_cost_usd", 6).alias("estimated_cost_usd"), fixed("latency_seconds", 3).alias("latency_seconds"), "success", F.col("error_text").alias("error")), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def append_log(calls: DataFrame, path: str) -> None:
+    """Adds the calls' lines to the log, a folder of JSON lines. Each task writes a file of its own, so no call waits for another."""
+    log_lines(calls).select("line").write.mode("append").text(path)
+
+
+def logged_text(text: Column, most: int) -> Column:
+    """As much of a text as the log keeps."""
+    return F.left(text, F.lit(most))

@@ -31,24 +31,64 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _mean(c: str) -> F.Column:
-    """Mean to 6 decimals, moved off the ties that the order of a sum would decide."""
-    return F.round(F.avg(c) + F.lit(1e-9), 6).alias("score")
+    """Mean to 6 decimals of an exact sum, so that the order of the rows decides nothing."""
+    return F.round(F.sum(F.col(c).cast("decimal(20,12)")).cast("double") / F.count(c), 6).alias("score")
 
 
 # --- problem 6 ---------------------------------------------------------------------------------------------------------
 
 
-@query("p6_found")
+_DOCS_JSON = """
+  docs as (select doc_no, lower(trim(schema_name)) as s, try_cast(case when json_type(j) = 'VARCHAR' then (j ->> '$') else j::varchar end as json) as v from (select doc_no, schema_name, try_cast(gold_data as json) as j from gold_documents where doc_no is not null)),
+  sub(s, path, v) as (
+    select lower(trim(schema_name)), '', coalesce((schema_json::json -> 'schema_definition'), schema_json::json) from schema_catalog
+    union all
+    select s, case when c.k is null then path || '[]' when path = '' then c.k else path || '.' || c.k end, c.x
+    from sub, lateral (select null::varchar as k, (sub.v -> 'items') as x union all select key, value from json_each((sub.v -> 'properties'))) c where json_type(c.x) = 'OBJECT'),
+  arrays as (select distinct s, path from sub where json_type(((v -> 'items') -> 'properties')) = 'OBJECT' or ((v -> 'items') ->> 'type') = 'object'),
+  t(doc_no, s, at_list, path, general, owner, name, v) as (
+    select doc_no, s, false, '', '', null::varchar, '', v from docs where json_type(v) in ('OBJECT', 'ARRAY')
+    union all
+    select doc_no, s, not c.is_key, c.path, c.general, c.owner, c.name, c.x from (
+      select t.doc_no, t.s, t.v as v, row_path, row_general, row_path is not null or t.owner is null as own_row, t.at_list, coalesce(row_path, t.path) as here, coalesce(row_general, t.general) as kind,
+        case when t.owner is null or row_path is not null then coalesce(row_path, '') else t.owner end as around, case when t.owner is null or row_path is not null then '' else t.name end as prefix
+      from (select t.*, case when json_type(v) = 'OBJECT' and owner is not null and (at_list or a.path is not null) then case when at_list then t.path else t.path || '[0]' end end as row_path,
+        case when json_type(v) = 'OBJECT' and owner is not null and (at_list or a.path is not null) then case when at_list then general else general || '[]' end end as row_general
+        from t left join arrays a on a.s = t.s and a.path = t.general) t) r,
+      lateral (select json_type(r.v) = 'OBJECT' as is_key, case when json_type(r.v) = 'ARRAY' then r.here || '[' || e.key || ']' when r.here = '' then e.key else r.here || '.' || e.key end as path,
+        case when json_type(r.v) = 'ARRAY' then r.kind || '[]' when r.kind = '' then e.key else r.kind || '.' || e.key end as general, r.around as owner,
+        case when json_type(r.v) = 'ARRAY' then '' when r.prefix = '' then e.key else r.prefix || '.' || e.key end as name, e.value as x
+        from json_each(case when json_type(r.v) in ('OBJECT', 'ARRAY') then r.v end) e) c)"""
+_ITEMS = "select doc_no, owner as parent_path, case when at_list then t.path else t.path || '[0]' end as child_path from t left join arrays a on a.s = t.s and a.path = t.general where owner is not null and json_type(v) = 'OBJECT' and (at_list or a.path is not null)"
+
+
+@query("p6_found", f"with recursive {_DOCS_JSON} {_ITEMS}")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.p6_found(table(spark, d, "gold_documents"), table(spark, d, "schema_catalog"))
 
 
 @query("p6_tables")
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_tables(table(spark, d, "gold_documents"), table(spark, d, "schema_catalog"))
+    return nested.all_tables(table(spark, d, "gold_documents"), table(spark, d, "schema_catalog"))
 
 
-@query("p6_scores_by_list")
+@query(
+    "p6_cells",
+    f"""with recursive {_DOCS_JSON}
+    select doc_no, regexp_replace(case when at_list then general else regexp_replace(owner, '\\[\\d+\\]', '[]', 'g') end, '\\[\\]$', '') as list_path, case when at_list then t.path else owner end as child_path, case when at_list then owner end as item_in, name, v::varchar as value
+    from t left join arrays a on a.s = t.s and a.path = t.general where owner is not null and (json_type(v) not in ('OBJECT', 'ARRAY') or v::varchar in ('{{}}', '[]') and not at_list and (json_type(v) = 'ARRAY' or a.path is null))""",
+)
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    """(list_path, doc_no, child_path, item_in, name, value): a row per member of each row of the flat tables; item_in is the parent of a scalar in a list."""
+    rows = nested.cells(nested.all_tables(table(spark, d, "gold_documents"), table(spark, d, "schema_catalog")))
+    return rows.select("doc_no", "list_path", "child_path", F.when(F.col("name") == "", F.col("parent_path")).alias("item_in"), "name", "value")
+
+
+@query("p6_scores_by_list", f"""with recursive {_DOCS_JSON},
+    items as (select distinct doc_no, child_path from ({_ITEMS})),
+    leaf as (select doc_no, score, regexp_extract(regexp_replace(field_key, '\\[\\d+\\]$', ''), '^(.*\\])[^\\]]*$', 1) as child_path from field_scores where not ends_with(field_key, '._array_avg'))
+    select regexp_replace(regexp_replace(l.child_path, '\\[\\d+\\]', '[]', 'g'), '\\[\\]$', '') as list_path, count(*) as scores, count(i.doc_no) as attached, round(sum(score::decimal(20,12))::double / count(score), 6) as mean_score
+    from leaf l left join items i on i.doc_no = l.doc_no and i.child_path = l.child_path where l.child_path <> '' group by 1""")
 def p6_scores_by_list(spark: SparkSession, d: str) -> DataFrame:
     return nested.p6_scores_by_list(table(spark, d, "gold_documents"), table(spark, d, "schema_catalog"), table(spark, d, "field_scores"))
 
@@ -124,7 +164,7 @@ def pass_threshold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_scores").select("score_id", (F.col("score") >= metrics.pass_threshold(F.col("metric_type"))).alias("passes"))
 
 
-_NAMES = "select p_partkey as id, left(reverse(left(p_name, 3)) || replace(substr(p_name, 4), 'e', ''), 7 + (p_partkey % 3)::int) as a, p_name as b from part"
+_NAMES = "select p_partkey as id, reverse(left(p_name, 3)) || replace(substr(p_name, 4), 'e', '') as a, p_name as b from part"
 _RATIO = f"""
 with recursive p as ({_NAMES}),
 sub(id, a, b, alo, ahi, blo, bhi, i, j, k) as (
@@ -198,11 +238,57 @@ def field_scores_flat(spark: SparkSession, d: str) -> DataFrame:
     from (select doc_id, a, m::double as m, n, gone, pl, gl from ({_DOCS}))""",
 )
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    p, f = _order_scores(spark, d)
-    out = score.doc_scores(p, f)
+    """Flat records are scored in their rows, without a shuffle."""
+    out = score.flat_doc_scores(pairs.order_pairs(table(spark, d, "orders")), compile_schema(pairs.ORDER_SCHEMA))
     return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("aggregate_score", "precision", "recall", "f1")), "total_fields", "matched_fields", "missing_fields", F.col("extra_fields").cast("bigint").alias("extra_fields"))
 
 
+@query("doc_scores_long", SQL["doc_scores"])
+def doc_scores_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the long table of field scores, as records with arrays need it."""
+    out = score.doc_scores(*_order_scores(spark, d))
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("aggregate_score", "precision", "recall", "f1")), "total_fields", "matched_fields", "missing_fields", F.col("extra_fields").cast("bigint").alias("extra_fields"))
+
+
+_KEPT = "length(g) % 2 = 0"
+_SAID = "round(least(length(p), length(g)) / greatest(length(p), length(g)), 6)"
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """A judge that compares lengths."""
+    n, m = F.length("predicted"), F.length("gold")
+    return rows.select("key", F.round(F.least(n, m) / F.greatest(n, m), 6).alias("score"), F.lit("lengths").alias("reason"))
+
+
+@query(
+    "judged_scores",
+    f"""with c as (select p_partkey as doc_id, p_name as g, case when p_partkey % 7 = 0 then p_name else reverse(left(p_name, 3)) || substr(p_name, 4) end as p, p_brand as b, case when p_partkey % 4 = 0 then lower(p_brand) else p_brand end as pb,
+      '["' || p_size || '","a"]' as ps, '["' || p_size || '","b"]' as gs from part)
+    select doc_id, 'name' as field_key, case when p = g then 1.0 when {_KEPT} then 0.25 else {_SAID} end::double as score, case when p = g then 'Exact match (semantic shortcut)' when {_KEPT} then 'kept' else 'lengths' end as reason from c
+    union all select doc_id, 'sizes', 1.0::double, 'lengths' from c
+    union all select doc_id, 'brand', case when b = pb then 1.0 else 0.0 end::double, case when b = pb then 'Exact match' else 'Mismatch: ' || $$'$$ || pb || $$' != '$$ || b || $$'$$ end from c""",
+)
+def judged_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Records scored with a judge: names whose length is even have an answer in the cache already, the others are asked for once."""
+    p = pairs.part_pairs(table(spark, d, "part"))
+    names = p.select(F.get_json_object("predicted", "$.name").alias("p"), F.get_json_object("gold", "$.name").alias("g")).where("length(g) % 2 = 0").distinct()
+    kept = names.select(hashing.metric_key(F.lit("string_semantic"), F.col("p"), F.col("g")).alias("key"), F.lit(0.25).alias("score"), F.lit("kept").alias("reason"))
+    rows = score.field_scores(p, compile_schema(pairs.PART_SCHEMA), score.Judge(_asked, kept))
+    return rows.select("doc_id", "field_key", "score", "reason")
+
+
+_WHY = "case when {p} is null and {g} is null then 'Both null' when {p} is null or {g} is null then 'Null mismatch: pred=' || coalesce($$'$$ || {p} || $$'$$, 'None') || ', gold=' || coalesce($$'$$ || {g} || $$'$$, 'None') when {p} = {g} then 'Exact match' else 'Mismatch: ' || $$'$$ || {p} || $$' != '$$ || {g} || $$'$$ end"
+_WHY_INT = "case when {a} is null and {b} is null then 'Both null' when {a} is null or {b} is null then 'Null/type mismatch: pred=' || coalesce($$'$$ || {p} || $$'$$, 'None') || ', gold=' || coalesce($$'$$ || {g} || $$'$$, 'None') when {a} = {b} then 'Exact integer match: ' || {a} else 'Integer mismatch: ' || {a} || ' != ' || {b} end"
+
+
+@query("metric_reasons", f"select score_id, {_WHY.format(p='p', g='g')} as exact, {_WHY_INT.format(a='a', b='b', p='p', g='g')} as whole from (select score_id, {_strip(_P)} as p, {_strip(_G)} as g, {_int(_P)} as a, {_int(_G)} as b from field_scores where ({_float(_P)} is null or {_int(_P)} is not null) and ({_float(_G)} is null or {_int(_G)} is not null) union all select score_id, {_strip(_P)}, {_strip(_G)}, null, null from field_scores where not (({_float(_P)} is null or {_int(_P)} is not null) and ({_float(_G)} is null or {_int(_G)} is not null)))")
+def metric_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why two values are or are not the same text and the same whole number."""
+    rows = table(spark, d, "field_scores").select("score_id", coerce.strip(F.col(_P)).alias("p"), coerce.strip(F.col(_G)).alias("g")).select("*", coerce.to_float(F.col("p")).alias("a"), coerce.to_float(F.col("g")).alias("b"))
+    why = lambda m: metrics.reason(m, *(F.col(c) for c in "pgab"), metrics.prepared(m, *(F.col(c) for c in "pgab")))
+    return rows.select("score_id", why("string_exact").alias("exact"), why("integer_exact").alias("whole"))
+
+
 @query("doc_subtrees", f"select doc_id, field_key as top_key, round(avg(score), 6) as score from ({_ORDER_FIELDS}) group by all")
 def doc_subtrees(spark: SparkSession, d: str) -> DataFrame:
     return score.doc_subtrees(_order_scores(spark, d)[1]).select("doc_id", "top_key", F.round("score", 6).alias("score"))
@@ -213,12 +299,12 @@ def corpus_macro(spark: SparkSession, d: str) -> DataFrame:
     return score.corpus_scores(score.doc_scores(*_order_scores(spark, d))).select(F.round("score", 6).alias("score"), "docs")
 
 
-@query("corpus_subtree_micro", "select run_id, regexp_extract(field_key, '^[^.\\[]*') as top_key, round(avg(score) + 1e-9, 6) as score, count(*) as fields from field_scores group by all")
+@query("corpus_subtree_micro", "select run_id, regexp_extract(field_key, '^[^.\\[]*') as top_key, round(sum(score::decimal(20,12))::double / count(score), 6) as score, count(*) as fields from field_scores group by all")
 def corpus_subtree_micro(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_scores").groupBy("run_id", text.top_key(F.col("field_key")).alias("top_key")).agg(_mean("score"), F.count("*").alias("fields"))
 
 
-@query("run_macro", "select run_id, iteration, round(avg(s) + 1e-9, 6) as score, count(*) as docs from (select run_id, iteration, doc_no, avg(score) as s from field_scores group by all) group by all")
+@query("run_macro", "select run_id, iteration, round(sum(s::decimal(20,12))::double / count(s), 6) as score, count(*) as docs from (select run_id, iteration, doc_no, avg(score) as s from field_scores group by all) group by all")
 def run_macro(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the documents' means, per run and iteration."""
     per = table(spark, d, "field_scores").groupBy("run_id", "iteration", "doc_no").agg(F.avg("score").alias("s"))
@@ -231,9 +317,9 @@ def missing_extra(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_scores").groupBy("doc_no").agg(F.count_if(p.isNull() & g.isNotNull()).alias("missing"), F.count_if(p.isNotNull() & g.isNull()).alias("extra"))
 
 
-@query("leaf_count")
+@query("leaf_count", "select doc_no, case when json_valid(gold_data) then (select count(*) from json_tree(try_cast(gold_data as json)) where type not in ('OBJECT', 'ARRAY') or value::varchar in ('{}', '[]')) else 0 end as leaves from gold_documents")
 def leaf_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "gold_documents").select("doc_no", text.leaf_count_udf("gold_data").alias("leaves"))
+    return table(spark, d, "gold_documents").select("doc_no", text.leaf_count(F.col("gold_data")).alias("leaves"))
 
 
 @query("nested_path_project", "select doc_no, try_cast(gold_data as json) ->> '$.company.address.city' as city, try_cast(gold_data as json) ->> '$.meet.pool.city' as pool_city from gold_documents")
@@ -243,7 +329,18 @@ def nested_path_project(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gold_documents").select("doc_no", get("$.company.address.city").alias("city"), get("$.meet.pool.city").alias("pool_city"))
 
 
-@query("eval_config_rows")
+@query(
+    "eval_config_rows",
+    """with recursive n(s, path, v) as (
+      select schema_name, '', coalesce((schema_json::json -> 'schema_definition'), schema_json::json) from schema_catalog
+      union all
+      select s, case when c.k is null then path || '[]' when path = '' then c.k else path || '.' || c.k end, c.x
+      from n, lateral (select null::varchar as k, (n.v -> 'items') as x union all select key, value from json_each((n.v -> 'properties'))) c where json_type(c.x) = 'OBJECT'),
+    r as (select s, path, (v -> 'evaluation_config') as e from n where path <> '' and json_exists(v, '$.evaluation_config')),
+    m as (select s, path, case when json_type(e) = 'VARCHAR' then (e ->> '$') else coalesce((e ->> '$.metrics[0].metric_id'), (e ->> '$.metric_id'), (e ->> '$.metrics[0]')) end as metric_id, coalesce((e ->> '$.metrics[0].params.tolerance'), (e ->> '$.params.tolerance')) as tolerance from r),
+    seen as (select regexp_replace(field_key, '\\[\\d+\\]', '[]', 'g') as path, metric_type as metric_id, count(*) as leaves from field_scores group by all)
+    select s as schema_name, path, metric_id, tolerance, coalesce(leaves, 0) as leaves from m left join seen using (path, metric_id)""",
+)
 def eval_config_rows(spark: SparkSession, d: str) -> DataFrame:
     """(schema_name, path, metric_id, tolerance, leaves): the compiled rules, with the recorded leaf scores of each path."""
     schemas = table(spark, d, "schema_catalog").select("schema_name", "schema_json").collect()
@@ -312,11 +409,13 @@ def extract_prompt_tag(spark: SparkSession, d: str) -> DataFrame:
     return calls.select("call_id", text.extract_prompt_tag(F.col("output")).alias("prompt"))
 
 
-@query("render_prompt", "select record_id, sha256(replace(prompt, '{schema}', schema_json)) as rendered, length(replace(prompt, '{schema}', schema_json)) as chars from prompt_history, schema_catalog where schema_name = 'sport/swimming' and prompt is not null")
+@query("render_prompt", "select record_id, schema_name, sha256(replace(prompt, '{schema}', schema_json)) as rendered, length(replace(prompt, '{schema}', schema_json)) as chars from prompt_history, schema_catalog where prompt is not null")
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "schema_catalog").where("schema_name = 'sport/swimming'").select("schema_json").first()[0]
-    done = table(spark, d, "prompt_history").where("prompt is not null").select("record_id", text.render_prompt(F.col("prompt"), F.lit(schema)).alias("r"))
-    return done.select("record_id", F.sha2("r", 256).alias("rendered"), F.length("r").cast("bigint").alias("chars"))
+    """Every prompt with every schema of the catalog, which is a bounded table."""
+    schemas = table(spark, d, "schema_catalog").select("schema_name", "schema_json").limit(nested.MAX_SCHEMAS).collect()
+    each = F.inline(F.array(*(F.struct(F.lit(r["schema_name"]).alias("schema_name"), F.lit(r["schema_json"]).alias("schema")) for r in schemas)))
+    done = table(spark, d, "prompt_history").where("prompt is not null").select("record_id", "prompt", each).select("record_id", "schema_name", text.render_prompt(F.col("prompt"), F.col("schema")).alias("r"))
+    return done.select("record_id", "schema_name", F.sha2("r", 256).alias("rendered"), F.length("r").cast("bigint").alias("chars"))
 
 
 @query("truncate_repr", "select score_id, case when length(gold_value) > 20 then left(gold_value, 17) || '...' else gold_value end as shown from field_scores")
@@ -340,10 +439,17 @@ def parse_json_fenced(spark: SparkSession, d: str) -> DataFrame:
 
 @query("json_repair")
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    calls = usage.latest_calls(table(spark, d, "llm_calls").where("call_type = 'extract'"), "output").where("output is not null")
+    """(call_id, record): the JSON value of every output, repaired where it was cut."""
+    calls = usage.latest_calls(table(spark, d, "llm_calls"), "output").where("output is not null")
     return calls.select("call_id", text.parse_lenient_udf("output").alias("record"))
 
 
+@query("log_prefixes", "select call_id, left(input_prompt, 200) as asked, left(output, 300) as answered from (select call_id, input_prompt, output from llm_calls where call_id is not null qualify row_number() over (partition by call_id order by ingested_at desc) = 1)")
+def log_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    calls = usage.latest_calls(table(spark, d, "llm_calls"), "input_prompt", "output")
+    return calls.select("call_id", usage.logged_text(F.col("input_prompt"), 200).alias("asked"), usage.logged_text(F.col("output"), 300).alias("answered"))
+
+
 @query("prompt_hash", "select record_id, left(sha256(prompt), 16) as h, coalesce(lower(prompt_hash) = left(sha256(prompt), 16), false) as fresh from prompt_history where prompt is not null")
 def prompt_hash(spark: SparkSession, d: str) -> DataFrame:
     h = hashing.prompt_hash(F.col("prompt"))
@@ -419,6 +525,19 @@ def dry_run_cap(spark: SparkSession, d: str) -> DataFrame:
     return discovery.first_of_each(discovery.assign_splits(table(spark, d, "gold_documents")), 5).groupBy("schema_name", "new_split").agg(F.count("*").alias("docs"))
 
 
+@query("split_summary", "select schema_name, 'Schema: ' || schema_name || ' | Train: ' || count(*) filter (split = 'train') || ' | Val: ' || count(*) filter (split = 'val') || ' | Test: ' || count(*) filter (split = 'test') || ' | Total: ' || count(*) filter (split in ('train', 'val', 'test')) as summary from gold_documents group by schema_name")
+def split_summary(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.split_summary(table(spark, d, "gold_documents"))
+
+
+@query("run_dirs", "select distinct run_id, '/runs/' || replace(schema_name, '/', '_') || '/' || run_id as dir from (select distinct f.run_id, g.schema_name from field_scores f join gold_documents g using (doc_no)) where run_id is not null and schema_name is not null")
+def run_dirs(spark: SparkSession, d: str) -> DataFrame:
+    """The folder of each run and schema that it scored."""
+    docs = table(spark, d, "gold_documents").select("doc_no", "schema_name").where("schema_name is not null")
+    runs = table(spark, d, "field_scores").select("doc_no", "run_id").where("run_id is not null").distinct().join(docs, "doc_no").select("run_id", "schema_name").distinct()
+    return runs.select("run_id", discovery.run_dir("/runs", F.col("schema_name"), F.col("run_id")).alias("dir"))
+
+
 @query("split_union", "select doc_no, split from gold_documents where split = 'train' union all select doc_no, split from gold_documents where split = 'val' union all select doc_no, split from gold_documents where split = 'test'")
 def split_union(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "gold_documents").select("doc_no", "split")
@@ -462,7 +581,9 @@ def budget_exhaustion(spark: SparkSession, d: str) -> DataFrame:
     return usage.exhaustion(_priced(spark, d), 15, 4000, 0.002, 40.0)
 
 
-@query("call_log_lines")
+@query("call_log_lines", """select call_id, to_json({logged_at: regexp_replace(c.logged_at::varchar, '(\\.[0-9]*[1-9])0+$|\\.0+$', '\\1'), call_type: c.call_type, provider: c.provider, model: c.model, input_tokens: c.input_tokens, output_tokens: c.output_tokens, total_tokens: c.total_tokens,
+    estimated_cost_usd: round(c.estimated_cost_usd, 6)::decimal(20,6), latency_seconds: round(c.latency_seconds, 3)::decimal(20,3), success: c.success, error: c.error_text})::varchar as line
+    from (select * from llm_calls where call_id is not null qualify row_number() over (partition by call_id order by ingested_at desc) = 1) c""")
 def call_log_lines(spark: SparkSession, d: str) -> DataFrame:
     names = ["logged_at", "call_type", "provider", "model", "input_tokens", "output_tokens", "total_tokens", "estimated_cost_usd", "latency_seconds", "success", "error_text"]
     return usage.log_lines(usage.latest_calls(table(spark, d, "llm_calls"), *names))
@@ -505,6 +626,22 @@ def duplicate_prompts(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.duplicate_prompts(_history(spark, d, "prompt"))
 
 
+@query("near_copy_prompts")
+def near_copy_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that are near copies of the best one before them; no SQL, which is too slow for the ratio of whole prompts."""
+    return trajectory.near_copies(_history(spark, d, "validation_score", "prompt"))
+
+
+@query("prompt_diffs")
+def prompt_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.prompt_diffs(_history(spark, d, "accepted", "prompt"))
+
+
+@query("prompt_at", f"select run_id, iteration, prompt from ({_ITERATIONS}) qualify row_number() over (partition by run_id order by iteration = 3 desc, iteration) = 1")
+def prompt_at(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.prompt_at(_history(spark, d, "prompt"), 3)
+
+
 @query(
     "regressions",
     f"""with s as ({_STEPS}), f as (select run_id, iteration, unnest(map_keys(field_scores_summary)) as field, unnest(map_values(field_scores_summary)) as v from s)

@@ -55,7 +55,26 @@ def tag_pairs(lineitem: DataFrame) -> DataFrame:
 
 
 def name_pairs(part: DataFrame) -> DataFrame:
-    """(p_partkey, predicted, gold) names, predicted cut, without e and with its first three letters reversed."""
+    """(p_partkey, predicted, gold) names, predicted without e and with its first three letters reversed."""
     name = F.col("p_name")
-    changed = F.concat(F.reverse(F.left(name, F.lit(3))), F.replace(F.substring(name, 4, 100), F.lit("e"), F.lit("")))
-    return part.select("p_partkey", F.left(changed, (F.lit(7) + F.col("p_partkey") % 3).cast("int")).alias("predicted"), name.alias("gold"))
+    return part.select("p_partkey", F.concat(F.reverse(F.left(name, F.lit(3))), F.replace(F.substring(name, 4, 100), F.lit("e"), F.lit(""))).alias("predicted"), name.alias("gold"))
+
+
+PART_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "name": {"type": "string", "evaluation_config": "string_semantic"},
+        "sizes": {"type": "array", "evaluation_config": {"metric_id": "array_llm"}},
+        "brand": {"type": "string", "evaluation_config": "string_exact"},
+    },
+}
+
+
+def part_pairs(part: DataFrame) -> DataFrame:
+    """(doc_id, predicted, gold) of every part: names changed as in name_pairs(), every seventh the same; predicted brands in lower case for every fourth."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    changed = F.when(k % 7 == 0, name).otherwise(F.concat(F.reverse(F.left(name, F.lit(3))), F.substring(name, 4, 100)))
+    sizes = lambda n: F.array(F.col("p_size").cast("string"), F.lit(n))
+    record = lambda name, brand, s: F.to_json(F.struct(name.alias("name"), s.alias("sizes"), brand.alias("brand")))
+    brand = F.col("p_brand")
+    return part.select(k.alias("doc_id"), record(changed, F.when(k % 4 == 0, F.lower(brand)).otherwise(brand), sizes("a")).alias("predicted"), record(name, brand, sizes("b")).alias("gold"))

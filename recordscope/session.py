@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session that names none (a test on one
-    machine) gets a temporary folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``, and a session on a cluster that names none is refused. Only a session on one
+    machine (a test) gets a temporary folder of its own. Spark deletes the files of tables that are no longer used where the
+    cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordscope-"))
     return sc.getCheckpointDir()
 

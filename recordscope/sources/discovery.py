@@ -9,6 +9,9 @@ from recordscope.operators.scan import running
 
 GOLD, PDF = ".gold.json", ".pdf"
 RATIOS = (0.7, 0.15, 0.15)
+#: The members of a saved run.
+RECORD = "iteration int, prompt string, validation_score double, test_score double, accepted boolean, reason string, timestamp string, prompt_hash string, field_scores_summary map<string,double>"
+STATE = f"run_id string, schema_name string, seed_prompt string, current_best_prompt string, current_best_score double, current_iteration int, status string, budget_used map<string,double>, prompt_history array<struct<{', '.join(x.replace(' ', ': ', 1) for x in RECORD.split(', '))}>>, test_score_seed double, test_score_final double, created_at string, updated_at string"
 
 
 def listing(spark: SparkSession, directory: str, suffix: str) -> DataFrame:
@@ -35,6 +38,35 @@ def read_records(spark: SparkSession, directory: str) -> DataFrame:
     return found.join(texts, "gold_path").select("doc", "gold_path", "gold_data")
 
 
+def read_pdfs(spark: SparkSession, directory: str) -> DataFrame:
+    """(doc, pdf_path, content) of the PDFs of a directory that have a gold file; the bytes are read by the tasks that use them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{PDF}").load(directory).select("path", "content")
+    gold = listing(spark, directory, GOLD).select(stem(F.col("path"), GOLD).alias("doc")).where("doc is not null").distinct()
+    return files.select(stem(F.col("path"), PDF).alias("doc"), F.col("path").alias("pdf_path"), "content").where("doc is not null").join(gold, "doc", "left_semi")
+
+
+def run_dir(base: str, schema_name: Column, run_id: Column) -> Column:
+    """The folder of a run: base, schema name with ``_`` for ``/``, run."""
+    return F.concat_ws("/", F.lit(base), F.replace(schema_name, F.lit("/"), F.lit("_")), run_id)
+
+
+def read_states(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, state columns) of the ``run_state.json`` of every run folder of a directory; broken files have null columns."""
+    return spark.read.schema(STATE).option("multiLine", "true").option("pathGlobFilter", "run_state.json").option("recursiveFileLookup", "true").json(directory).select(F.col("_metadata.file_path").alias("path"), "*")
+
+
+def resumable(states: DataFrame) -> DataFrame:
+    """The state of the first run by path that is not completed, none if all are; broken states are passed over."""
+    return states.where("status is not null and status <> 'completed'").orderBy("path").limit(1)
+
+
+def split_summary(splits: DataFrame, by: str = "schema_name", split: str = "split") -> DataFrame:
+    """(schema_name, summary): the sizes of the splits of each schema, in a line."""
+    n = lambda s: F.count_if(F.col(split) == s)
+    sizes = splits.groupBy(by).agg(n("train").alias("a"), n("val").alias("b"), n("test").alias("c"))
+    return sizes.select(by, F.format_string("Schema: %s | Train: %d | Val: %d | Test: %d | Total: %d", by, "a", "b", "c", F.col("a") + F.col("b") + F.col("c")).alias("summary"))
+
+
 def split_sizes(counts: DataFrame, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """``counts`` (schema_name, n) with n_train, n_val, n_test.
 

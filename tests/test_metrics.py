@@ -87,3 +87,12 @@ def test_text_of_responses(spark):
     assert text.leaves({"a": [], "b": {}, "c": [1, {"d": None}]}) == 4
     keys = spark.createDataFrame([("doc::a[0].b",), ("a.b",), ("[0]",)], "k string").select(text.top_key(F.col("k"))).collect()
     assert [r[0] for r in keys] == ["a", "a", ""]
+
+
+def test_lenient_parsing_of_fences_and_lists():
+    fence = "`" * 3
+    for raw in (f'{fence}json {{"a": 1}} {fence}', f'{fence}json {{"a": 1}}\n{fence}', f'{fence}\n{{"a": 1}}', f'{{"a": 1}}\n{fence}', '{"a": 1,'):
+        assert text.parse_lenient(raw) == '{"a": 1}', raw
+    assert text.parse_lenient('[{"a":1}]') == '[{"a": 1}]' and text.parse_lenient("no json") == text.parse_lenient("") == "{}"
+    for raw, want in [('{"a": [1, {"b": 2', '{"a": [1, {"b": 2}]}'), ('{"a": "x\\" {"', '{"a": "x\\" {"}'), ("[1, 2],", "[1, 2]"), ("]{", "]{}"), ('{"a": "open [', '{"a": "open [}')]:
+        assert text.repaired(raw) == want
