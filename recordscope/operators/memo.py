@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordscope.functions.hashing import metric_key
+from recordscope.functions.hashing import extraction_key, metric_key
 from recordscope.session import cut
 
 
@@ -28,6 +28,12 @@ def upsert(cache: DataFrame, new: DataFrame, key: str, order: list[str]) -> Data
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
+def put_extractions(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache (key, result, saved_at) of extractions with new ones from (path, prompt, result, saved_at); a null time is now, the last one by time counts, then the greater result."""
+    rows = new.select(extraction_key(F.col("path"), F.col("prompt")).alias("key"), "result", F.coalesce("saved_at", F.current_timestamp().cast("timestamp_ntz")).alias("saved_at"))
+    return upsert(cache, rows, "key", ["saved_at", "result"])
+
+
 def judged(pairs: DataFrame, cache: DataFrame, judge: Callable[[DataFrame], DataFrame], metric: str = "judge") -> tuple[DataFrame, DataFrame]:
     """(pairs with score and reason, merged cache). The judge sees each distinct pair that the cache lacks once.
 

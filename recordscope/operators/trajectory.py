@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordscope.functions.hashing import prompt_hash
 from recordscope.functions.metrics import ratio_udf
-from recordscope.functions.text import unified_diff_udf
+from recordscope.functions.text import top_key, unified_diff_udf
 from recordscope.operators.scan import running
 
 STALL, DROP, GAP, EVERY, RECENT, WORST = 3, 0.05, 0.1, 3, 5, 5
@@ -129,3 +129,10 @@ def overview(history: DataFrame) -> DataFrame:
     per = history.groupBy("run_id").agg((F.count("*") - 1).alias("tried"), F.count_if(F.col("accepted") & (F.col("iteration") > 0)).alias("accepted"), F.max("validation_score").alias("best"), F.min_by("test_score", F.when(F.col("test_score").isNotNull(), F.col("iteration"))).alias("first_test"), F.max_by("test_score", F.when(F.col("test_score").isNotNull(), F.col("iteration"))).alias("last_test"))
     delta = F.round(F.col("last_test") - F.col("first_test"), 9)
     return per.select("run_id", "tried", "accepted", "best", "last_test", F.when(delta > 0, "up").when(delta < 0, "down").when(delta == 0, "same").alias("trend"))
+
+
+def subtree_lines(scores: DataFrame) -> DataFrame:
+    """(run_id, lines): the mean score of each top member over a run, in the order of their names, a line each."""
+    per = scores.groupBy("run_id", top_key(F.col("field_key")).alias("top")).agg((F.sum(F.col("score").cast("decimal(20,12)")).cast("double") / F.count("score")).alias("m"))
+    line = F.struct("top", F.concat("top", F.lit(": "), F.round("m", 4).cast("decimal(10,4)").cast("string")).alias("line"))
+    return per.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))

@@ -47,6 +47,13 @@ def exhaustion(priced_calls: DataFrame, max_calls: int, max_tokens: int, max_cos
     return sums.withColumn("reason", reason).where("reason is not null").groupBy("run_id").agg(F.min(F.struct("calls", "call_id", "tokens", "reason")).alias("f")).select("run_id", "f.call_id", "f.calls", "f.tokens", "f.reason")
 
 
+def snapshots(priced_calls: DataFrame) -> DataFrame:
+    """(run_id, call_id, calls, tokens, cost, seconds): what each run has used after each call, cost with 6 and seconds with 2 decimals; order as in exhaustion()."""
+    exact = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(28,12)")
+    sums = running(priced_calls.select("run_id", "logged_at", "call_id", "total_tokens", "cost", "latency_seconds"), ["run_id"], ["logged_at", "call_id"], calls=("count", F.lit(1)), tokens=("sum", F.coalesce("total_tokens", F.lit(0))), spent=("sum", exact("cost")), seconds=("sum", exact("latency_seconds")))
+    return sums.select("run_id", "call_id", "calls", "tokens", F.round("spent", 6).cast("double").alias("cost"), F.round("seconds", 2).cast("double").alias("seconds"))
+
+
 def log_lines(calls: DataFrame) -> DataFrame:
     """(call_id, line): each call as a JSON line with nulls kept, costs with 6 and latencies with 3 decimals."""
     fields = ["logged_at", "call_type", "provider", "model", "input_tokens", "output_tokens", "total_tokens"]

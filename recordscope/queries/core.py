@@ -311,6 +311,11 @@ def run_macro(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("run_id", "iteration").agg(_mean("s"), F.count("*").alias("docs"))
 
 
+@query("subtree_lines", "select run_id, string_agg(top || ': ' || round(m, 4)::decimal(10,4), chr(10) order by top) as lines from (select run_id, regexp_extract(field_key, '^[^.\\[]*') as top, sum(score::decimal(20,12))::double / count(score) as m from field_scores group by all) group by run_id")
+def subtree_lines(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.subtree_lines(table(spark, d, "field_scores"))
+
+
 @query("missing_extra", "select doc_no, count(*) filter (predicted_value is null and gold_value is not null) as missing, count(*) filter (predicted_value is not null and gold_value is null) as extra from field_scores group by doc_no")
 def missing_extra(spark: SparkSession, d: str) -> DataFrame:
     p, g = F.col(_P), F.col(_G)
@@ -481,6 +486,14 @@ def cache_lookup_misses(spark: SparkSession, d: str) -> DataFrame:
     return memo.misses(rows.where("iteration >= 5"), rows.where("iteration < 5").select("key").distinct())
 
 
+@query("extraction_cache", "select key, md5(max_by(gold_data, (annotated_at, gold_data))) as result, max(annotated_at) as saved_at from (select sha256(pdf_path || '||' || schema_name) as key, gold_data, annotated_at from gold_documents where gold_data is not null and annotated_at is not null and pdf_path is not null and schema_name is not null) group by key")
+def extraction_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The cache of extractions from the records of all splits, those of val and test saved after the others."""
+    docs = table(spark, d, "gold_documents").where("gold_data is not null and annotated_at is not null and pdf_path is not null and schema_name is not null").select(F.col("pdf_path").alias("path"), F.col("schema_name").alias("prompt"), F.col("gold_data").alias("result"), F.col("annotated_at").alias("saved_at"), "split")
+    first = docs.where("split = 'train'").select(hashing.extraction_key(F.col("path"), F.col("prompt")).alias("key"), "result", "saved_at")
+    return memo.put_extractions(first, docs.where("split is null or split <> 'train'")).select("key", F.md5("result").alias("result"), "saved_at")
+
+
 @query("cache_upsert", f"with k as ({_KEYED}) select key, max_by(score, (iteration, score_id)) as score, max_by(score_id, (iteration, score_id)) as score_id from k group by key")
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The cache of metric calls, the last score of each key winning."""
@@ -581,6 +594,15 @@ def budget_exhaustion(spark: SparkSession, d: str) -> DataFrame:
     return usage.exhaustion(_priced(spark, d), 15, 4000, 0.002, 40.0)
 
 
+@query(
+    "budget_snapshots",
+    f"""select run_id, call_id, count(*) over w as calls, (sum(coalesce(total_tokens, 0)) over w)::bigint as tokens, round(sum(cost::decimal(28,12)) over w, 6)::double as cost, round(sum(coalesce(latency_seconds, 0)::decimal(28,12)) over w, 2)::double as seconds from ({_PRICED})
+    window w as (partition by run_id order by logged_at nulls first, call_id rows unbounded preceding)""",
+)
+def budget_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return usage.snapshots(_priced(spark, d))
+
+
 @query("call_log_lines", """select call_id, to_json({logged_at: regexp_replace(c.logged_at::varchar, '(\\.[0-9]*[1-9])0+$|\\.0+$', '\\1'), call_type: c.call_type, provider: c.provider, model: c.model, input_tokens: c.input_tokens, output_tokens: c.output_tokens, total_tokens: c.total_tokens,
     estimated_cost_usd: round(c.estimated_cost_usd, 6)::decimal(20,6), latency_seconds: round(c.latency_seconds, 3)::decimal(20,3), success: c.success, error: c.error_text})::varchar as line
     from (select * from llm_calls where call_id is not null qualify row_number() over (partition by call_id order by ingested_at desc) = 1) c""")

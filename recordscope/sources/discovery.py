@@ -99,3 +99,11 @@ def assign_splits(records: DataFrame, seed: int = 42, ratios: tuple[float, float
 def first_of_each(split: DataFrame, most: int) -> DataFrame:
     """The first ``most`` records of every split, for a dry run."""
     return split.where(F.col("ord") < most)
+
+
+def load(spark: SparkSession, directory: str, schema_name: str, seed: int = 42, ratios: tuple[float, float, float] = RATIOS, most: int | None = None) -> DataFrame:
+    """(schema_name, doc, split, ord, gold_path, gold_data): the records of a directory with their splits, of each at most ``most``."""
+    records = read_records(spark, directory).withColumns({"schema_name": F.lit(schema_name), "doc_no": F.xxhash64("doc")})
+    placed = assign_splits(records, seed, ratios)
+    kept = placed if most is None else first_of_each(placed, most)
+    return records.join(kept.select("doc_no", F.col("new_split").alias("split"), "ord"), "doc_no").select("schema_name", "doc", "split", "ord", "gold_path", "gold_data")

@@ -209,3 +209,13 @@ def test_near_copies_and_diffs(spark):
     assert set(diffs) == {2, 5} and diffs[5].splitlines()[:2] == ["--- iteration_2", "+++ iteration_5"] and "+something else!" in diffs[5]
     assert rows(trajectory.prompt_at(h, 3)) == [("r", 3, base)] and rows(trajectory.prompt_at(h, 77)) == [("r", 0, base)]
     assert rows(trajectory.near_copies(h.limit(0))) == rows(trajectory.prompt_diffs(h.limit(0))) == []
+
+
+def test_load_a_folder(spark, tmp_path):
+    for i in range(10):
+        (tmp_path / f"r{i}.gold.json").write_text(json.dumps({"i": i}))
+        (tmp_path / f"r{i}.pdf").write_bytes(b"%PDF")
+    out = discovery.load(spark, str(tmp_path), "s").collect()
+    assert sorted(json.loads(r["gold_data"])["i"] for r in out) == list(range(10))
+    assert sorted(r["split"] for r in out) == ["test"] * 2 + ["train"] * 6 + ["val"] * 2
+    assert discovery.load(spark, str(tmp_path), "s", most=1).count() == 3
