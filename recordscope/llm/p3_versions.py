@@ -93,25 +93,34 @@ def prefixes(sets: DataFrame, *keys: str) -> DataFrame:
 
 
 def blocks(prefix: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(token, members) of the blocks of at least two records, or, with the records' components, of several components."""
+    """(token, members) of the blocks of at least two records; with the records' components, (token, members, main, others) of
+    those of several components: the component with most of them and how many records have another."""
     if comps is None:
         return prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    mixed = prefix.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return mixed.where("low < high").select("token", "members")
+    per = prefix.join(comps, "rep", "left").groupBy("token", F.coalesce("comp", "rep").alias("comp")).agg(F.count("*").alias("c"))
+    mixed = per.groupBy("token").agg(F.sum("c").alias("members"), F.max(F.struct("c", "comp")).alias("m"))
+    return mixed.select("token", "members", F.col("m.comp").alias("main"), (F.col("members") - F.col("m.c")).alias("others")).where("others > 0")
 
 
 def postings(prefix: DataFrame, sets: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """A row (``POSTINGS``) per record and block; the second round, which has components, also per tile of a large block."""
-    open_ = blocks(prefix, comps)
+    """A row (``POSTINGS``) per record and block, and in the second round, which has components, per tile of a large block.
+
+    The first round only cuts large blocks into parts. In the second the records of the main component are not compared with
+    each other: they and the other records are cut into parts of their own, and there is a tile for each two parts that are not
+    both of the main component. A large block of versions with a few other records thus costs little more than one pass.
+    """
     named = sets.select("rep", "sig", F.size("tokens").alias("n"))
     named = named.withColumn("comp", F.col("rep")) if comps is None else named.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    chunks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
-    rows = prefix.select("rep", "token").join(open_, "token").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    rows = prefix.select("rep", "token").join(blocks(prefix, comps), "token").join(named, "rep")
+    parts = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     if comps is None:
-        rows = rows.withColumn("tile", F.col("side"))
-    else:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("tile", F.least("side", "other") * F.col("chunks") + F.greatest("side", "other"))
-    return rows.select("rep", "token", "tile", "side").join(named, "rep").select("token", "tile", "side", "rep", "n", "sig", "comp")
+        return rows.withColumn("side", place(parts(F.col("members")))).select("token", F.col("side").alias("tile"), "side", "rep", "n", "sig", "comp")
+    a, b, main = parts(F.col("others")), parts(F.col("members") - F.col("others")), F.col("comp") == F.col("main")
+    rows = rows.withColumns({"a": a, "k": a + b}).withColumn("side", F.when(F.col("members") <= TILE_ROWS, 0).when(main, F.col("a") + place(b)).otherwise(place(a)))
+    other = F.when(F.col("members") <= TILE_ROWS, F.array(F.lit(0))).when(main, F.sequence(F.lit(0), F.col("a") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+    rows = rows.withColumn("other", F.explode(other)).withColumn("tile", F.least("side", "other") * F.col("k") + F.greatest("side", "other"))
+    return rows.select("token", "tile", "side", "rep", "n", "sig", "comp")
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -155,6 +164,19 @@ def _leader_pairs(sigs: np.ndarray, limits: np.ndarray, starts: np.ndarray, size
         left[open_[b]] = False
 
 
+def _late(starts: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The rows of each block that need not be compared with each other: of two sides the second, else the most frequent component."""
+    block = np.repeat(np.arange(len(starts)), sizes)
+    low, high = (f.reduceat(side, starts) for f in (np.minimum, np.maximum))
+    order = np.lexsort((comp, block))
+    new = np.flatnonzero((np.diff(block[order], prepend=-1) != 0) | (np.diff(comp[order], prepend=comp[order][:1]) != 0))
+    count = np.diff(np.append(new, len(order)))
+    most = np.lexsort((count, block[order][new]))
+    last = most[np.append(np.flatnonzero(np.diff(block[order][new][most])), len(most) - 1)]
+    main = comp[order][new][last]
+    return np.where((low < high)[block], side > low[block], comp == main[block])
+
+
 def candidates(posted: DataFrame, first_round: bool) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the blocks: with the leaders only, or between different components."""
 
@@ -172,9 +194,14 @@ def candidates(posted: DataFrame, first_round: bool) -> DataFrame:
                 b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
                 keep = np.ones(len(a), bool)
             else:
+                # rows are sorted by side and component size, so those that are compared with all come first
+                late = _late(starts, sizes, comp, side)
+                order = np.lexsort((late, np.repeat(np.arange(len(starts)), sizes)))
+                rep, comp, side, sigs, limits, n, late = (x[order] for x in (rep, comp, side, sigs, limits, n, late))
+                heads = sizes - np.add.reduceat(late.astype(np.int64), starts)
                 mixed = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
-                a, b = close_pairs(sigs, limits, starts[mixed], sizes[mixed])
-                # a tile of two sides compares them with each other; each side has a tile of its own
+                a, b = close_pairs(sigs, limits, starts[mixed], sizes[mixed], heads=heads[mixed])
+                # a tile of two parts compares them with each other; the parts' own tiles do the rest
                 twofold = np.minimum.reduceat(side, starts) < np.maximum.reduceat(side, starts)
                 block = np.searchsorted(starts, a, "right") - 1
                 keep = (comp[a] != comp[b]) & (~twofold[block] | (side[a] != side[b]))
