@@ -185,19 +185,25 @@ def leaks(documents: DataFrame, items: DataFrame, broadcast_pieces: int = BROADC
         keys = {s: np.array(sorted(h for t, h in at_piece if t == s), np.int64) for s in windows.sizes}
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = windows.words(text)
-                hashed = windows.hashed(words)
-                hits: dict[int, list[tuple[int, int, int]]] = {}
+            # the words of many documents are searched at once
+            for lo in range(0, batch.num_rows, 512):
+                docs, texts = (batch.column(c).slice(lo, 512).to_pylist() for c in (0, 1))
+                words = [windows.words(t) for t in texts]
+                ends = np.cumsum([len(w) for w in words])
+                hashed = windows.hashed([w for of_one in words for w in of_one])
+                hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for s in windows.sizes:
                     w = windows.of(hashed, s)
                     near = np.searchsorted(keys[s], w)
-                    for pos in np.flatnonzero(keys[s][np.minimum(near, len(keys[s]) - 1)] == w).tolist():
-                        for item, at in at_piece[s, int(w[pos])]:
-                            hits.setdefault(item, []).append((at, s, pos))
-                for item, where in hits.items():
+                    found = np.flatnonzero(keys[s][np.minimum(near, len(keys[s]) - 1)] == w)
+                    doc = np.searchsorted(ends, found, "right")
+                    inside = found + s <= ends[doc]
+                    for d, pos, h in zip(doc[inside].tolist(), found[inside].tolist(), w[found[inside]].tolist()):
+                        for item, at in at_piece[s, h]:
+                            hits.setdefault((d, item), []).append((at, s, pos - int(ends[d]) + len(words[d])))
+                for (d, item), where in hits.items():
                     item_id, passage = known[item]
-                    rows.append((doc, item_id, *verify(passage, words, where), len(pieces(len(passage))) - 1, len(passage)))
+                    rows.append((docs[d], item_id, *verify(passage, words[d], where), len(pieces(len(passage))) - 1, len(passage)))
             yield _batch(rows)
 
     return _verified(docs.mapInArrow(run, HITS))

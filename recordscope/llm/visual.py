@@ -119,10 +119,10 @@ _MARK = "\u0300-\u036f"
 _AMBIGUOUS = "".join(sorted(BY_PROTOTYPE))
 _LATIN_LETTERS = "A-Za-z\u00c0-\u024f\u1e00-\u1eff"
 _OTHER = "\u0370-\u03ff\u0400-\u052f\u1c80-\u1c8f\u1f00-\u1fff"
+#: Words with some letter of another script than Latin.
+OTHER = re.compile(rf"[{_LATIN_LETTERS}{_MARK}]*[{_OTHER}][{_LATIN_LETTERS}{_OTHER}{_MARK}]*")
 #: Words that need the lattice: all letters ambiguous, or some letter of another script than Latin.
-NEEDS = re.compile(
-    rf"(?<![{_LATIN_LETTERS}{_OTHER}{_MARK}])(?:[{re.escape(_AMBIGUOUS)}][{_MARK}]*)+(?![{_LATIN_LETTERS}{_OTHER}{_MARK}])|[{_LATIN_LETTERS}{_MARK}]*[{_OTHER}][{_LATIN_LETTERS}{_OTHER}{_MARK}]*"
-)
+NEEDS = re.compile(rf"(?<![{_LATIN_LETTERS}{_OTHER}{_MARK}])(?:[{re.escape(_AMBIGUOUS)}][{_MARK}]*)+(?![{_LATIN_LETTERS}{_OTHER}{_MARK}])|{OTHER.pattern}")
 
 
 def visual_form(model: Model | None = None, cache_words: int = 200_000) -> Callable[[str], str]:
@@ -130,6 +130,8 @@ def visual_form(model: Model | None = None, cache_words: int = 200_000) -> Calla
     plain = _plain()
     look = {ord(c): p for c, p in PROTOTYPE.items() if c != p}
     cache: dict[str, str] = {}
+    # without a model an ambiguous word is Latin, as its prototypes are already
+    needs = NEEDS if model else OTHER
 
     def word(m: re.Match) -> str:
         w = m[0]
@@ -143,7 +145,9 @@ def visual_form(model: Model | None = None, cache_words: int = 200_000) -> Calla
     def form(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFD", text.translate(plain)).translate(look)
-        text = NEEDS.sub(word, text)
+        elif not model:
+            return text
+        text = needs.sub(word, text)
         return text if text.isascii() else unicodedata.normalize("NFC", text)
 
     return form
