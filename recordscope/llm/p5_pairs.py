@@ -80,7 +80,7 @@ def is_empty(text: str | None) -> bool:
 
 
 def words(text: str) -> list[str]:
-    return [w.casefold() for w in WORD.findall(text)]
+    return WORD.findall(text.casefold())
 
 
 def is_copy(prompt: str | None, answer: str | None) -> bool:
