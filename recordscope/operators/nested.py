@@ -62,12 +62,13 @@ class Number(str):
     """A number as the record writes it."""
 
 
-def parse_record(text: str | None) -> object:
-    """The JSON value of ``text``, also if it is kept inside JSON strings; None if it is broken."""
+def parse_record(text: str | None, exact: bool = True) -> object:
+    """The JSON value of ``text``, also if it is kept inside JSON strings; None if it is broken. ``exact`` keeps numbers as they are written."""
     value: object = text
+    how = {"parse_int": Number, "parse_float": Number, "parse_constant": Number} if exact else {}
     try:
         while type(value) is str:
-            value = json.loads(value, strict=False, parse_int=Number, parse_float=Number, parse_constant=Number)
+            value = json.loads(value, strict=False, **how)
     except (ValueError, RecursionError):
         return None
     return value
@@ -84,11 +85,12 @@ def member_name(owner: str, key: str) -> str:
     return f"{owner}.{part}" if owner else part
 
 
-def record_rows(record: object, arrays: frozenset[str]) -> list[tuple[str, str, str, int, int, int, dict[str, str]]]:
+def record_rows(record: object, arrays: frozenset[str], items_only: bool = False) -> list[tuple[str, str, str, int, int, int, dict[str, str]]]:
     """(list_path, kind, child_path, level, pre, post, fields) of the root and of every list item of a record.
 
     level counts the items around the row, itself included. fields has the members that are no list items as JSON text; the
-    value of a scalar has an empty name. A lone object at a path of ``arrays`` counts as a list of one.
+    value of a scalar has an empty name. A lone object at a path of ``arrays`` counts as a list of one. ``items_only`` gives
+    the objects in lists without their fields.
     """
     if not isinstance(record, (dict, list)):
         return []
@@ -111,7 +113,7 @@ def record_rows(record: object, arrays: frozenset[str]) -> list[tuple[str, str,
                 path, general = f"{path}[0]", f"{general}[]"
             level += 1
             row = [general[:-2], kind, path, level, clock, 0, {}]
-        elif is_item:
+        elif is_item and not items_only:
             # it is inside the item around it, but nothing has it for a parent
             inner = [general[:-2], LIST if isinstance(value, list) else VALUE, path, level + 1, clock, 0, {}]
             if not isinstance(value, list):
@@ -132,12 +134,12 @@ def record_rows(record: object, arrays: frozenset[str]) -> list[tuple[str, str,
                 owner[6][name] = "[]"
             for i in range(len(value) - 1, -1, -1):
                 stack.append((value[i], f"{path}[{i}]", f"{general}[]", True, level, owner, None))
-        elif not is_item:
+        elif not is_item and not items_only:
             owner[6][name] = as_json(value)
-    return [tuple(x) for x in out]
+    return [tuple(x) for x in out if not items_only or x[1] != ROOT]
 
 
-def nodes(records: DataFrame, catalog: DataFrame) -> DataFrame:
+def nodes(records: DataFrame, catalog: DataFrame, items_only: bool = False) -> DataFrame:
     """The rows of every record with their interval labels (``NODE_SCHEMA``)."""
     arrays = catalog_arrays(catalog)
 
@@ -148,7 +150,7 @@ def nodes(records: DataFrame, catalog: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in names]
             for doc_no, schema, text in zip(*(c.to_pylist() for c in batch.columns)):
                 known = arrays.get((schema or "").strip().lower(), frozenset())
-                for *row, fields in record_rows(parse_record(text), known):
+                for *row, fields in record_rows(parse_record(text, not items_only), known, items_only):
                     for col, x in zip(cols, (doc_no, *row, list(fields.items()))):
                         col.append(x)
                 if len(cols[0]) > 20_000:
@@ -184,7 +186,7 @@ def p6_found(records: DataFrame, catalog: DataFrame) -> DataFrame:
     doc_no is taken as the record's key; rows with a null doc_no are left out. JSON nested deeper than
     the parser's recursion limit counts as broken. Other columns play no part.
     """
-    return link(nodes(records, catalog).where(F.col("kind").isin(ITEM, LONE)).select("doc_no", "kind", "child_path", "level", "pre", "post"))
+    return link(nodes(records, catalog, items_only=True).select("doc_no", "kind", "child_path", "level", "pre", "post"))
 
 
 def all_tables(records: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -220,7 +222,7 @@ def p6_scores_by_list(records: DataFrame, catalog: DataFrame, scores: DataFrame)
     Scores of array averages (``._array_avg``) are no leaves and are left out, scores outside lists too.
     attached counts the scores whose item exists in the flat tables; a null score enters no mean.
     """
-    items = nodes(records, catalog).where(F.col("kind").isin(ITEM, LONE)).select("doc_no", "child_path").distinct()
+    items = nodes(records, catalog, items_only=True).select("doc_no", "child_path").distinct()
     leaf = scores.where(~F.col("field_key").endswith("._array_avg")).select("doc_no", "score", item_path(F.col("field_key")).alias("child_path")).where("child_path <> ''")
     joined = leaf.join(items.withColumn("hit", F.lit(1)), ["doc_no", "child_path"], "left")
     return joined.groupBy(F.regexp_replace(F.regexp_replace("child_path", r"\[\d+\]", "[]"), r"\[\]$", "").alias("list_path")).agg(F.count("*").alias("scores"), F.count("hit").alias("attached"), F.round(F.sum(F.col("score").cast("decimal(20,12)")).cast("double") / F.count("score"), 6).alias("mean_score"))
