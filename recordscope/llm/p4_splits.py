@@ -106,8 +106,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     rows = cut(entry_sets(records))
     pairs = set_pairs(rows)
     train, held = rows.where("not evaluation"), rows.where("evaluation")
-    with_eval = tiled_join(pairs, held.select(F.col("set_id").alias("e"), F.col("doc_no").alias("eval_no")), "e", "t", "eval_no")
-    by_entries = tiled_join(with_eval.select("t", "eval_no"), train.select(F.col("set_id").alias("t"), F.col("doc_no").alias("train_no")), "t", "eval_no", "train_no").select("train_no", "eval_no", F.lit(False).alias("by_id"), F.lit(True).alias("by_entries"))
+    with_eval = cut(tiled_join(pairs, held.select(F.col("set_id").alias("e"), F.col("doc_no").alias("eval_no")), "e", "t", "eval_no").select("t", "eval_no"))
+    by_entries = tiled_join(with_eval, train.select(F.col("set_id").alias("t"), F.col("doc_no").alias("train_no")), "t", "eval_no", "train_no").select("train_no", "eval_no", F.lit(False).alias("by_id"), F.lit(True).alias("by_entries"))
     by_id = tiled_join(train.select("key", F.col("doc_no").alias("train_no")), held.select("key", F.col("doc_no").alias("eval_no")), "key", "train_no", "eval_no").select("train_no", "eval_no", F.lit(True).alias("by_id"), F.lit(False).alias("by_entries"))
     return by_entries.unionByName(by_id).where("train_no <> eval_no").groupBy("train_no", "eval_no").agg(F.max("by_id").alias("by_id"), F.max("by_entries").alias("by_entries"))
 
