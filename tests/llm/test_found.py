@@ -134,6 +134,17 @@ def test_versions_in_tiles(spark, monkeypatch):
     assert rows(p3_versions.p3_found(df)) == whole
 
 
+def test_sets_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """No join of word sequences, blocks or signatures sends a side to the driver, however small the optimizer takes it for."""
+    spark.createDataFrame([(i, p) for i, p, _ in prompts(60) if i is not None and p is not None], "rep bigint, text string").dropDuplicates(["rep"]).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    sets, plans, cut = p3_versions.cut(p3_versions.sets_of(texts)), [], p3_versions.cut
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(p3_versions, "cut", lambda df: (seen(df), cut(df))[1])
+    seen(p3_versions.version_links(sets))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_bit_sliced_distances():
     """Blocks of all sizes side by side give the pairs that plain distances give, and far words are abandoned."""
     rng = np.random.default_rng(1)
