@@ -99,7 +99,8 @@ def leaf_count(text: Column) -> Column:
     Every leaf but the first has a comma before it that stands outside strings, so commas are counted. Members of
     one name make a record broken, and unlike in leaves() there is no bound on depth.
     """
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    # possessive, since Java matches a choice in a loop by recursion, and a long string overflows the stack of the executor
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     commas = F.length(bare) - F.length(F.replace(bare, F.lit(",")))
     return F.when(F.try_parse_json(text).isNotNull(), commas + 1).otherwise(0).cast("bigint")
 

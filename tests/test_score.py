@@ -145,3 +145,10 @@ def test_native_leaf_count(spark):
     texts = [json.dumps(v) for v in values] + ["{", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(text.leaf_count(F.col("t"))).collect()] == [text.leaves(v) for v in values] + [0, 0]
+
+
+def test_leaf_count_of_long_strings(spark):
+    """Strings of a million characters, plain or all escapes, neither overflow a stack nor hide a comma."""
+    values = [{"a": "x, " * 300_000, "b": [1, 2]}, {"a": '", \\' * 300_000, "b": [1, 2]}, ["\\" * 500_000, "\n," * 500_000]]
+    df = spark.createDataFrame([(json.dumps(v),) for v in values], "t string")
+    assert [r[0] for r in df.select(text.leaf_count(F.col("t"))).collect()] == [3, 3, 2]
