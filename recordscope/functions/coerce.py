@@ -23,9 +23,9 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
-def to_float(c: Column) -> Column:
-    """The number a text writes, with ``_`` between digits allowed; null for other texts."""
-    s = strip(c)
+def to_float(c: Column, stripped: bool = False) -> Column:
+    """The number a text writes, with ``_`` between digits allowed; null for other texts. ``stripped`` texts have no blanks at their ends."""
+    s = c if stripped else strip(c)
     return F.when(s.rlike(NAN), F.lit(float("nan"))).when(s.rlike(FLOAT), F.regexp_replace(s, "_", "").try_cast("double"))
 
 

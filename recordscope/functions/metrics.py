@@ -20,6 +20,7 @@ TOLERANCE = 0.001
 #: A ratio passes from here on; all other metrics need the full score, arrays half of it.
 PASS_CLOSE, PASS_EXACT, PASS_ARRAY = 0.8, 1.0, 0.5
 CLOSE = ("string_fuzzy", "string_semantic")
+NUMERIC = ("integer_exact", "number_tolerance", "number_exact")
 
 
 def _both(p: Column, g: Column, equal: Column) -> Column:

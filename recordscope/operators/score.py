@@ -99,10 +99,15 @@ def _item_rules(node: Node) -> tuple[list[tuple[str, Rule]], int]:
     return (flat, len(rules) - len(flat)) if rules else ([("", FREE)], 0)
 
 
+def _number(rule: Rule, stripped: Column) -> Column:
+    """The number of a stripped text, for the rules that compare numbers."""
+    return to_float(stripped, stripped=True) if rule.metric in metrics.NUMERIC else F.lit(None).cast("double")
+
+
 def _ready(xs: Column, rules: list[tuple[str, Rule]]) -> Column:
     """Each item as a struct of its stripped texts and numbers by rule, computed once an item and not once a pair."""
     texts = F.transform(xs, lambda x: F.struct(*(strip(member(x, path)).alias(f"t{i}") for i, (path, _) in enumerate(rules))))
-    return F.transform(texts, lambda x: F.struct(*(x[f"t{i}"].alias(f"t{i}") for i in range(len(rules))), *(to_float(x[f"t{i}"]).alias(f"f{i}") for i in range(len(rules)))))
+    return F.transform(texts, lambda x: F.struct(*(x[f"t{i}"].alias(f"t{i}") for i in range(len(rules))), *(_number(r, x[f"t{i}"]).alias(f"f{i}") for i, (_, r) in enumerate(rules))))
 
 
 def _base(rules: list[tuple[str, Rule]], nested: int) -> Column:
@@ -164,6 +169,11 @@ def _average(outer: Column, path: str, general: str, score: Column) -> list[Colu
     return [F.concat(outer, F.lit(f"{path}._array_avg")).alias("field_key"), F.lit(f"{general}._array_avg").alias("field_path"), F.lit("array_avg").alias("metric_type"), score.alias("score"), (score >= metrics.PASS_ARRAY).alias("passed"), null.alias("gold_value"), null.alias("predicted_value"), null.alias("reason")]
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of ``values``, each computed once however often the body has it: inside a lambda Spark computes a value at each place that names it."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), F.lit(0))
+
+
 def _item_leaves(node: Node, path: str, general: str) -> list[Callable[[Column, Column, Column, Column], Column]]:
     """For each scored member of an item, its field row as a function of (key before the item, predicted item, gold item, ratios)."""
     rules, _ = _item_rules(node.items)
@@ -172,13 +182,17 @@ def _item_leaves(node: Node, path: str, general: str) -> list[Callable[[Column,
 
     def leaf(name: str, rule: Rule, is_array: bool) -> Callable[[Column, Column, Column, Column], Column]:
         def row(item: Column, p: Column, g: Column, ratios: Column) -> Column:
-            raw_p, raw_g = member(p, name), member(g, name)
-            x, y = strip(raw_p), strip(raw_g)
-            a, b = to_float(x), to_float(y)
             limit = F.lit(float(dict(rule.params).get("tolerance", metrics.TOLERANCE)))
-            ratio = ratios[close.index(name)] if name in close and name else metrics.ratio_udf(x, y) if name else None
-            told = metrics.prepared(rule.metric, x, y, a, b, ratio, limit)
-            return F.struct(F.concat(item, F.lit(f".{name}" if name else "")).alias("field_key"), F.lit(f"{general}[].{name}" if name else f"{general}[]").alias("field_path"), F.lit(rule.metric).alias("metric_type"), told.alias("score"), (told >= _need(rule.metric, is_array)).alias("passed"), raw_g.alias("gold_value"), raw_p.alias("predicted_value"), metrics.reason(rule.metric, x, y, a, b, told, limit).alias("reason"))
+
+            def scored(raw: Column, v: Column, n: Column) -> Column:
+                x, y, a, b = v["x"], v["y"], n["a"], n["b"]
+                ratio = ratios[close.index(name)] if name in close and name else metrics.ratio_udf(x, y) if name else None
+                return _let({"score": metrics.prepared(rule.metric, x, y, a, b, ratio, limit)}, lambda t: told(raw, x, y, a, b, t["score"]))
+
+            def told(raw: Column, x: Column, y: Column, a: Column, b: Column, score: Column) -> Column:
+                return F.struct(F.concat(item, F.lit(f".{name}" if name else "")).alias("field_key"), F.lit(f"{general}[].{name}" if name else f"{general}[]").alias("field_path"), F.lit(rule.metric).alias("metric_type"), score.alias("score"), (score >= _need(rule.metric, is_array)).alias("passed"), raw["g"].alias("gold_value"), raw["p"].alias("predicted_value"), metrics.reason(rule.metric, x, y, a, b, score, limit).alias("reason"))
+
+            return _let({"p": member(p, name), "g": member(g, name)}, lambda raw: _let({"x": strip(raw["p"]), "y": strip(raw["g"])}, lambda v: _let({"a": _number(rule, v["x"]), "b": _number(rule, v["y"])}, lambda n: scored(raw, v, n))))
 
         return row
 
@@ -203,7 +217,8 @@ def _scored_array(pairs: DataFrame, path: str, node: Node, general: str, judge:
             mean = F.when(n > 0, F.aggregate("fields", F.lit(0.0), lambda x, f: x + f["score"]) / n)
             average = F.struct(*_average(F.col("key"), path, general, mean))
             told = told.select("doc_id", "key", F.when(n > 0, F.concat("fields", F.array(average))).otherwise(F.col("fields")).alias("fields"))
-        return told.select("doc_id", "key", F.inline("fields")).select("doc_id", "key", *COLUMNS[1:])
+        # of a plain inline() Spark infers a filter on the size of its input, which computes all fields many times
+        return told.select("doc_id", "key", F.inline_outer("fields")).where("metric_type is not null").select("doc_id", "key", *COLUMNS[1:])
     # items with arrays of their own, without members or for a judge: the assignment is written once and read by each part
     one = cut(alignments(pairs, path, node).select("doc_id", "key", "ps", "gs", F.explode("pairs").alias("m")))
     matched = one.where("m.pred_idx >= 0 and m.gold_idx >= 0").select("doc_id", F.col("key").alias("outer"), F.concat("key", F.lit(path), F.lit("["), F.col("m.gold_idx").cast("string"), F.lit("]")).alias("item"), F.expr("ps[m.pred_idx]").alias("predicted"), F.expr("gs[m.gold_idx]").alias("gold"))

@@ -140,6 +140,15 @@ def test_flat_scores_need_no_shuffle_and_arrays_one_pass(spark):
     assert shown.count("MapInArrow") == 1 and "Exchange" not in shown
 
 
+def test_item_values_are_computed_once(spark):
+    """However often an item's score and reason name a value, the plan computes it once for each side, and no inferred filter computes the fields again."""
+    from recordscope.queries import pairs
+
+    items = spark.createDataFrame([("d", '{"lines": []}', '{"lines": [{"part": 1}]}')], "doc_id string, predicted string, gold string")
+    shown = score.field_scores(items, compile_schema(pairs.ITEM_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("$['part']") == 4 and shown.count("RLIKE") <= 16
+
+
 def test_native_leaf_count(spark):
     values = [{"a": [], "b": {}, "c": [1, {"d": None}]}, [], {}, 5, "a, b", {"a,b": 'x, " y, ['}, [[1, 2], [3]], None]
     texts = [json.dumps(v) for v in values] + ["{", None]
