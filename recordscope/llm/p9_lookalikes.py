@@ -10,19 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordscope.llm.visual import Model, pair_scores, visual_form
+from recordscope.llm.visual import Model, pair_counts, pair_scores, visual_form
 from recordscope.operators.skew import tiled_join
 from recordscope.session import cut
 
-#: Most frequent words that the letter-pair scores are learnt from; the counts are of all documents.
-MODEL_WORDS = 50_000
-
 
 def script_model(documents: DataFrame, text: str = "text") -> Model:
-    """Letter-pair scores by script from the words of all documents, the most frequent ``MODEL_WORDS`` of them."""
-    words = documents.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("word")).where("word <> '' and length(word) <= 40")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MODEL_WORDS)
-    return pair_scores((unicodedata.normalize("NFD", r["word"]), r["n"]) for r in top.collect())
+    """Letter-pair scores by script from all words of all documents.
+
+    The pairs of each distinct word are counted in the tasks and summed exactly; the driver gets a row for each script and pair of
+    letters that occur, so as many as the alphabets allow, whatever the number of words.
+    """
+    words = documents.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = pair_counts((unicodedata.normalize("NFD", w), n) for w, n in zip(*(c.to_pylist() for c in batch.columns)))
+            yield pa.RecordBatch.from_pylist([{"script": s, "a": a, "b": b, "n": n} for (s, a, b), n in pairs.items()], schema)
+
+    schema = pa.schema([("script", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(run, "script int, a string, b string, n bigint")
+    sums = counted.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
+    return pair_scores({(r["script"], r["a"], r["b"]): r["n"] for r in sums})
 
 
 def forms(documents: DataFrame, model: Model) -> DataFrame:

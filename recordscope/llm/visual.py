@@ -153,27 +153,35 @@ def visual_form(model: Model | None = None, cache_words: int = 200_000) -> Calla
     return form
 
 
-def pair_scores(counts: Iterable[tuple[str, int]]) -> Model:
-    """Log shares of letter pairs by script, of single letters and of the scripts themselves (with empty letters), from (word, count).
+def pair_counts(counts: Iterable[tuple[str, int]]) -> dict[tuple[int, str, str], int]:
+    """How often each pair of letters comes in the words of each script, from (word, count); ``^`` begins and ``$`` ends a word.
 
     Words of mixed or uncertain script don't count.
     """
-    pairs: dict[tuple[int, str, str], float] = {}
-    firsts: dict[tuple[int, str], float] = {}
-    words: dict[int, float] = {}
-    singles: dict[tuple[int, str], float] = {}
+    pairs: dict[tuple[int, str, str], int] = {}
     for word, n in counts:
         scripts = {script(c) for c in word if not unicodedata.combining(c)}
         sure = {script(c) for c in word if c not in PROTOTYPE and not unicodedata.combining(c)}
         if len(scripts) != 1 or scripts != sure or None in scripts:
             continue
         s = scripts.pop()
-        words[s] = words.get(s, 0) + n
         padded = ["^", *(c for c in word if not unicodedata.combining(c)), "$"]
         for a, b in zip(padded, padded[1:]):
             pairs[s, a, b] = pairs.get((s, a, b), 0) + n
-            firsts[s, a] = firsts.get((s, a), 0) + n
-            singles[s, b] = singles.get((s, b), 0) + n
+    return pairs
+
+
+def pair_scores(counts: Iterable[tuple[str, int]] | dict[tuple[int, str, str], int]) -> Model:
+    """Log shares of letter pairs by script, of single letters and of the scripts themselves (with empty letters), from (word, count) or from pair_counts()."""
+    pairs = counts if isinstance(counts, dict) else pair_counts(counts)
+    firsts: dict[tuple[int, str], float] = {}
+    words: dict[int, float] = {}
+    singles: dict[tuple[int, str], float] = {}
+    for (s, a, b), n in pairs.items():
+        firsts[s, a] = firsts.get((s, a), 0) + n
+        singles[s, b] = singles.get((s, b), 0) + n
+        # a word begins once
+        words[s] = words.get(s, 0) + n * (a == "^")
     scores = {(s, a, b): math.log(n / firsts[s, a]) for (s, a, b), n in pairs.items()}
     letters = {s: sum(n for (t, _), n in singles.items() if t == s) for s in words}
     scores |= {(s, "", b): math.log(n / letters[s]) for (s, b), n in singles.items()}

@@ -419,6 +419,16 @@ def test_look_alikes(spark):
     assert rows(p9_lookalikes.p9_found(df.limit(0))) == []
 
 
+def test_script_model_of_all_words(spark):
+    """The letter pairs are those of all distinct words, also of the 50,001st and of very long ones."""
+    letters = "dfglmnrt"
+    words = ["b" + "".join(letters[i >> k & 7] for k in (0, 3, 6, 9, 12)) + "z" * (i >> 15) for i in range(50_001)] + ["g" * 41, "я" * 3, "яz"]
+    df = spark.createDataFrame([(i, " ".join(words[i::100] + ["bad"] * 2)) for i in range(100)], "doc_id bigint, text string")
+    model = p9_lookalikes.script_model(df)
+    assert len(set(words)) == len(words) and model == pytest.approx(pair_scores([*((w, 1) for w in words), ("bad", 200)]))
+    assert (0, "g", "g") in model and (1, "я", "я") in model and (1, "я", "z") not in model
+
+
 @pytest.mark.parametrize("size", ["sf0.001"])
 def test_given_tables(spark, data, size):
     """Every query runs on the given tables and gives rows."""
