@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,10 @@ WORDS = 2000
 #: Words of a text that must be known, and the log odds per known word, before a language is named.
 KNOWN, MARGIN = 4, 0.4
 
-PLAIN_WORD = re.compile(r"(?<![\w'’-])[^\W\d_]+(?![\w-])")
+#: Words and what is written together with them; a plain word is at the beginning of such a run, and nothing or an apostrophe follows it.
+RUN, PLAIN_WORD = re.compile(r"[\w'’-]+"), re.compile(r"[^\W\d_]+(?![\w-])")
+#: Runs whose rows a task keeps.
+KEPT = 50_000
 
 
 def language_code(column: str) -> F.Column:
@@ -46,25 +50,45 @@ def word_model(documents: DataFrame, text: str = "text", label: str = "lang") ->
     return {w: {g: math.log((by.get(g, 0) + 0.5) / (totals[g] + WORDS)) for g in totals} for w, by in seen.items()}
 
 
+class _Rows(dict):
+    """Run -> row of its plain word in the model's table, or -1. The rows of the first KEPT runs are kept."""
+
+    def __init__(self, model: dict[str, dict[str, float]]):
+        super().__init__()
+        self.of = {w: i for i, w in enumerate(model)}
+
+    def __missing__(self, run: str) -> int:
+        row, m = -1, PLAIN_WORD.match(run)
+        if m:
+            w = m[0]
+            row = self.of.get(w, -1)
+            if row < 0 and len(w) > 1 and w.isupper():
+                row = self.of.get(w.lower(), -1)
+        if len(self) < KEPT:
+            self[run] = row
+        return row
+
+
 def guess(model: dict[str, dict[str, float]]) -> Callable[[str], str | None]:
     """A function from text to its language, or to None where too little of it is known."""
+    names = list(next(iter(model.values()), {}))
+    table = np.array([[by[g] for g in names] for by in model.values()]).reshape(len(model), len(names))
+    rows = _Rows(model)
 
     def language(text: str) -> str | None:
-        score: dict[str, float] = {}
-        known = 0
-        for i, w in enumerate(PLAIN_WORD.findall(text)):
-            by = model.get(w if i else w.lower())
-            if by is None and w.isupper() and len(w) > 1:
-                by = model.get(w.lower())
-            if by:
-                known += 1
-                for g, x in by.items():
-                    score[g] = score.get(g, 0.0) + x
-        if known < KNOWN:
+        runs = RUN.findall(text)
+        found = list(map(rows.__getitem__, runs))
+        for i, run in enumerate(runs):
+            if m := PLAIN_WORD.match(run):  # the first word may have a capital
+                found[i] = rows.of.get(m[0].lower(), -1)
+                break
+        found = [x for x in found if x >= 0]
+        if len(found) < KNOWN:
             return None
-        order = sorted(score, key=score.get, reverse=True)
-        if len(order) > 1 and score[order[0]] - score[order[1]] < MARGIN * known:
+        score = np.add.reduce(table[found], axis=0).tolist()  # row by row, in the order of the text
+        order = sorted(range(len(names)), key=score.__getitem__, reverse=True)
+        if len(order) > 1 and score[order[0]] - score[order[1]] < MARGIN * len(found):
             return None
-        return order[0]
+        return names[order[0]]
 
     return language

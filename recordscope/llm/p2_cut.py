@@ -39,6 +39,7 @@ TERMINAL = re.compile(r"[.!?。！？…؟।]$")
 CLOSERS = "\"'”’»«`*_)]}"
 ELLIPSIS = re.compile(r"(?:\.\.+|…|\[\s*(?:…|\.\.\.|truncated|cut|continued)\s*\]|\ufffd)$", re.I)
 BULLET = re.compile(r"^\s*(?:[-*+•>–]|\d+[.)])\s+")
+BULLETS = frozenset("-*+•>–")
 NUMBER = re.compile(r"^[-+]?\d+(?:[.,]\d+)*\s*%?$")
 JSON_START = re.compile(r'\{(?=\s*(?:"|\}|$))|\[(?=\s*(?:["{\[\]\-\d]|$))')
 TAG = re.compile(r"^<([A-Za-z][\w.-]*)[^<>]*>")
@@ -49,12 +50,33 @@ def trim(text: str) -> str:
     return text.strip(_EDGE)
 
 
+class _Decoder:
+    """The JSON value that opens at a place of a text and where it ends; None if it is no JSON. The last one is kept, since the checks of one row ask for the same; don't change it."""
+
+    def __init__(self):
+        self.decode = json.JSONDecoder(strict=False).raw_decode
+        self.asked, self.found = None, None
+
+    def __reduce__(self):  # tasks begin with an empty one
+        return _Decoder, ()
+
+    def __call__(self, text: str, at: int) -> tuple[object, int] | None:
+        if self.asked != (text, at):
+            try:
+                self.found = self.decode(text, at)
+            except (ValueError, RecursionError):
+                self.found = None
+            self.asked = text, at
+        return self.found
+
+
+decoded = _Decoder()
+
+
 def _balanced_end(text: str, at: int) -> int:
     """Where the JSON value that opens at ``at`` ends, or -1 if it never does. Values that are no JSON but balanced end too."""
-    try:
-        return json.JSONDecoder(strict=False).raw_decode(text, at)[1]
-    except (ValueError, RecursionError):
-        pass
+    if (found := decoded(text, at)) is not None:
+        return found[1]
     depth, quoted, i = 0, False, at
     for m in re.finditer(r'\\.|["{}\[\]]', text[at:], re.S):
         c = m[0]
@@ -140,7 +162,7 @@ def inner_items(text: str | None) -> list[str]:
     """List items of a value before its last line."""
     if not text or "\n" not in text:
         return []
-    return [u for line in text.rstrip().split("\n")[:-1] if (m := BULLET.match(line)) and 0 < len(u := line[m.end() :].strip()) <= UNIT_CHARS and len(u.split()) <= UNIT_WORDS]
+    return [u for line in text.rstrip().split("\n")[:-1] if ((c := line.lstrip()[:1]) in BULLETS or c.isdecimal()) and (m := BULLET.match(line)) and 0 < len(u := line[m.end() :].strip()) <= UNIT_CHARS and len(u.split()) <= UNIT_WORDS]
 
 
 def endings(calls: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -11,7 +11,6 @@ wrong-language answers are told by checks of each pair.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordscope.llm.language import guess, word_model
-from recordscope.llm.p2_cut import INVISIBLE, JSON_START, _balanced_end, decided, ending, inner_items, source_name, trim
+from recordscope.llm.p2_cut import INVISIBLE, JSON_START, _balanced_end, decided, decoded, ending, inner_items, source_name, trim
 from recordscope.operators.components import components
 from recordscope.session import cut
 
@@ -38,11 +37,19 @@ TEMPLATE_PROMPTS, REFUSAL_SHARE = 3, 0.5
 USUAL, OFF_FORM, ECHO = 0.8, 0.2, 0.25
 #: Words that a copy may add: lead-ins and single inserted words. The log keeps so many characters of a prompt.
 COPY_EXTRA, LOGGED = 6, 500
+#: Openings whose MinHash values are counted together.
+HASHED_ROWS = 512
+#: Words whose marks a task keeps.
+KEPT = 50_000
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 NOTHING = re.compile(rf"```[\w+-]*|<[^<>]*>|\bnull\b|[\s{INVISIBLE}\"'“”„«»‘’`{{}}\[\](),:;]+", re.I)
 
 SCORE = re.compile(r"\W*\d")
+#: Five letters that NOTHING never takes where there is no tag.
+_LETTERS = re.compile(r"(?<![\w+`-])[A-Za-z]{5}")
+#: WORD for ASCII without apostrophes: letters in lower case and digits stay, all else is blank.
+_ASCII_WORDS = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
 
 _FENCE, _TAGS, _PART = re.compile(r"```[\w+-]*"), re.compile(r"<[^<>]*>"), re.compile(r"[^\s.!?]+|[.!?]+")
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”')
@@ -50,15 +57,17 @@ _OUTER = re.compile(r"^\W+|\W+$")
 
 #: Phrases by which a writer states not to be able or willing to answer, in four languages.
 STATED = re.compile(
-    r"\bi (?:cannot|can not|can['’]?t|won['’]?t|will not|am unable|am not able|must (?:decline|refuse)|have to (?:decline|refuse|leave)|decline to|refuse to|do not feel comfortable|don['’]?t feel comfortable|would rather not|am not comfortable|am not allowed|am not permitted)\b"
-    r"|\bi['’]d rather not\b|\bi['’]m (?:unable|not able|not allowed|not permitted|not comfortable)\b|\bnot possible for me\b|\boff limits for me\b|\bmy (?:rules|guidelines|instructions|policy|policies) (?:do|does) ?n[o'’]t (?:allow|permit)|\bmy rules do not allow\b"
-    r"|\bagainst my (?:guidelines|instructions|rules|policy|principles)\b|\bunder my usage policy\b|\bi have to leave to a human\b"
-    r"|\bje ne (?:peux|puis|suis) pas\b|\bm['’]est impossible\b|\bje (?:refuse|dois refuser)\b"
-    r"|\bno puedo\b|\bno me es posible\b|\bno estoy autorizad[oa]\b|\bdebo rechazar\b"
-    r"|\b(?:kann|darf|möchte) ich\b[^.!?\n]{0,60}\bnicht\b|\bich (?:kann|darf|möchte)\b[^.!?\n]{0,60}\bnicht\b|\bmuss ich ablehnen\b",
+    r"\b(?:i (?:cannot|can not|can['’]?t|won['’]?t|will not|am unable|am not able|must (?:decline|refuse)|have to (?:decline|refuse|leave)|decline to|refuse to|do not feel comfortable|don['’]?t feel comfortable|would rather not|am not comfortable|am not allowed|am not permitted)\b"
+    r"|i['’]d rather not\b|i['’]m (?:unable|not able|not allowed|not permitted|not comfortable)\b|not possible for me\b|off limits for me\b|my (?:rules|guidelines|instructions|policy|policies) (?:do|does) ?n[o'’]t (?:allow|permit)|my rules do not allow\b"
+    r"|against my (?:guidelines|instructions|rules|policy|principles)\b|under my usage policy\b|i have to leave to a human\b"
+    r"|je ne (?:peux|puis|suis) pas\b|m['’]est impossible\b|je (?:refuse|dois refuser)\b"
+    r"|no puedo\b|no me es posible\b|no estoy autorizad[oa]\b|debo rechazar\b"
+    r"|(?:kann|darf|möchte) ich\b[^.!?\n]{0,60}\bnicht\b|ich (?:kann|darf|möchte)\b[^.!?\n]{0,60}\bnicht\b|muss ich ablehnen\b)",
     re.I,
 )
 
+_STATED_ASCII = re.compile(STATED.pattern)
+
 #: Names of the languages in each of them.
 LANGUAGES = {
     "en": "english|anglais|inglés|ingles|englisch|englische|englischer",
@@ -67,19 +76,27 @@ LANGUAGES = {
     "de": "german|allemand|alemán|aleman|deutsch|deutsche",
     "ru": "russian|russe|ruso|russisch|russische",
 }
-ASKED = {g: re.compile(rf"\b(?:in|into|en|al|auf|ins|to)\s+(?:\w+\s+)?(?:{names})\b", re.I) for g, names in LANGUAGES.items()}
+ASKED = {g: re.compile(rf"\b(?:in|into|en|al|auf|ins|to)\s+(?:\w+\s+)?(?:{names})\b", re.I) for g, names in [*LANGUAGES.items(), ("", "|".join(LANGUAGES.values()))]}
+ASKED_ANY = ASKED.pop("")
+_ASCII_NAMES = [n for names in LANGUAGES.values() for n in names.split("|") if n.isascii()]
+_ASCII_NAMES = [n for n in _ASCII_NAMES if not any(x in n and x != n for x in _ASCII_NAMES)]
 
 
 def is_empty(text: str | None) -> bool:
     if not text:
         return True
+    head = text[:200]
+    if "<" not in head and _LETTERS.search(head):
+        return False
     # five characters left of the beginning, short of a tag it may have split, show that there is something
-    if len(NOTHING.sub("", text[:200].rpartition("<")[0] if "<" in text[:200] else text[:200])) >= 5:
+    if len(NOTHING.sub("", head.rpartition("<")[0] if "<" in head else head)) >= 5:
         return False
     return not NOTHING.sub("", text)
 
 
 def words(text: str) -> list[str]:
+    if text.isascii() and "'" not in text:
+        return text.translate(_ASCII_WORDS).split()
     return WORD.findall(text.casefold())
 
 
@@ -111,17 +128,13 @@ def copied(p: list[str], a: list[str], logged: bool) -> bool:
     return False
 
 
-def _json_strings(text: str) -> tuple[list[str], int] | None:
-    """Text values of the JSON in ``text`` and how many other values it has; None if there is none."""
+def _json_strings(text: str, most: int | None = None) -> tuple[list[str], int] | None:
+    """Text values of the JSON in ``text`` and how many other values it has; None if there is none. Beyond ``most`` of either the rest is left."""
     m = JSON_START.search(text)
-    if not m:
-        return None
-    try:
-        value, _ = json.JSONDecoder(strict=False).raw_decode(text, m.start())
-    except (ValueError, RecursionError):
+    if not m or (found := decoded(text, m.start())) is None:
         return None
-    strings, others, todo = [], 0, [value]
-    while todo:
+    strings, others, todo = [], 0, [found[0]]
+    while todo and (most is None or len(strings) <= most and others <= most):
         x = todo.pop()
         if isinstance(x, dict):
             todo += reversed(list(x.values()))
@@ -137,7 +150,7 @@ def _json_strings(text: str) -> tuple[list[str], int] | None:
 def refusal_text(answer: str) -> str | None:
     """The part of an answer that may be a refusal: its text, or the only text inside JSON; None if there is an answer beside it."""
     s = trim(_FENCE.sub("", answer) if "```" in answer else answer)
-    found = _json_strings(s)
+    found = _json_strings(s, 3)
     if found is not None:
         strings, others = found
         long = [x for x in strings if len(x.split()) >= 4]
@@ -145,6 +158,31 @@ def refusal_text(answer: str) -> str | None:
     return trim(_TAGS.sub("", s) if "<" in s else s) or None
 
 
+class _Marks(dict):
+    """Part of a text -> its word or mark at the start of a sentence and elsewhere, '' for nothing; None ends a sentence. The first KEPT are kept."""
+
+    def __reduce__(self):  # tasks begin with an empty one
+        return _Marks, ()
+
+    def __missing__(self, w: str) -> tuple[str, str] | None:
+        if w[0] in ".!?":
+            return None
+        bare = w if w[0].isalnum() and w[-1].isalnum() else _OUTER.sub("", w)
+        if "_" in bare:
+            marks = "<f>", "<f>"
+        elif any(map(str.isdigit, bare)):
+            marks = "<n>", "<n>"
+        else:
+            name = bare[:1].isupper() and not bare.isupper() and bare != "I" and not bare.startswith("I'")
+            marks = bare.casefold(), "<w>" if name else bare.casefold()
+        if len(self) < KEPT:
+            self[w] = marks
+        return marks
+
+
+_MARKS = _Marks()
+
+
 def masked(text: str) -> list[str]:
     """Words of the opening, with quotes, codes, numbers and names (capitals inside a sentence) as marks."""
     text = " ".join(text.split(None, 4 * OPENING_WORDS)[: 4 * OPENING_WORDS])
@@ -152,24 +190,14 @@ def masked(text: str) -> list[str]:
     out = []
     start = True
     for m in _PART.finditer(text):
-        w = m[0]
-        if w[0] in ".!?":
+        marks = _MARKS[m[0]]
+        if marks is None:
             start = True
-            continue
-        bare = w if w[0].isalnum() and w[-1].isalnum() else _OUTER.sub("", w)
-        if not bare:
-            continue
-        if "_" in bare:
-            out.append("<f>")
-        elif any(c.isdigit() for c in bare):
-            out.append("<n>")
-        elif bare[0].isupper() and not bare.isupper() and not start and bare != "I" and not bare.startswith("I'"):
-            out.append("<w>")
-        else:
-            out.append(bare.casefold())
-        start = False
-        if len(out) == OPENING_WORDS:
-            break
+        elif marks[0]:
+            out.append(marks[not start])
+            start = False
+            if len(out) == OPENING_WORDS:
+                break
     return out
 
 
@@ -198,46 +226,59 @@ def echo(prompt: list[str], answer: list[str]) -> float:
 
 
 def asked_language(prompt: str, language) -> str | None:
-    for g, pattern in ASKED.items():
-        if pattern.search(prompt):
-            return g
+    low = prompt.lower()
+    if (not prompt.isascii() or any(n in low for n in _ASCII_NAMES)) and ASKED_ANY.search(prompt):
+        return next(g for g, pattern in ASKED.items() if pattern.search(prompt))
     return language(prompt)
 
 
+def min_hashes(openings: list[list[str]], seeds: np.ndarray) -> list[list[int]]:
+    """The MinHash bands of each list of different words; none of lists of fewer than three."""
+    bands: list[list[int]] = [[] for _ in openings]
+    told = [i for i, tokens in enumerate(openings) if len(tokens) >= 3]
+    for lo in range(0, len(told), HASHED_ROWS):
+        part = told[lo : lo + HASHED_ROWS]
+        h = np.array([xxhash.xxh3_64_intdigest(t) for i in part for t in openings[i]], np.uint64)
+        starts = np.cumsum([0, *(len(openings[i]) for i in part[:-1])])
+        with np.errstate(over="ignore"):
+            low = np.minimum.reduceat((h ^ (h >> np.uint64(29)))[None, :] * seeds[:, None], starts, axis=1)
+        raw, width = np.ascontiguousarray(low.T).tobytes(), 8 * ROWS
+        for k, i in enumerate(part):
+            bands[i] = [xxhash.xxh3_64_intdigest(raw[at : at + width], seed=b) - 2**63 for b, at in enumerate(range(k * width * BANDS, (k + 1) * width * BANDS, width))]
+    return bands
+
+
 def features(calls: DataFrame, model: dict) -> DataFrame:
-    """What the checks say of each row, and the MinHash bands of the opening."""
+    """What the checks say of each row, and the MinHash bands of the opening. Language counts only where no other check decides, echo where there are bands."""
     shared = calls.sparkSession.sparkContext.broadcast(model)
     seeds = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = guess(shared.value)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(13)]
+            found: list[tuple] = []
             for kind, prompt, answer in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))):
                 asked, given = words(prompt or ""), words(answer or "")
                 empty, copy = is_empty(answer), bool(prompt and answer) and copied(asked, given, len(prompt) >= LOGGED)
+                state, unit = ending(answer)
                 opening, stated, wrong, form, said = [], False, False, None, None
                 if not empty:
-                    form, said = answer_form(answer), echo(asked, given)
+                    form = answer_form(answer)
                     text = refusal_text(answer)
                     if text:
-                        opening = masked(text)
+                        opening = sorted(set(masked(text)))
                         head = " ".join(text.split(None, 2 * OPENING_WORDS)[: 2 * OPENING_WORDS])
-                        stated = bool(STATED.search(head))
-                    own = answer_text(kind, answer) if prompt else ""
+                        stated = bool(_STATED_ASCII.search(head.lower()) if head.isascii() else STATED.search(head))
+                    if len(opening) >= 3:
+                        said = echo(asked, given)
+                    own = answer_text(kind, answer) if prompt and not (copy or stated or state == "cut") else ""
                     if len(own) > 12 and (got := language(own)):
                         want = asked_language(prompt, language)
                         wrong = want is not None and got != want
-                tokens = sorted(set(opening))
-                bands: list[int] = []
-                if len(tokens) >= 3:
-                    h = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
-                    with np.errstate(over="ignore"):
-                        low = ((h[None, :] ^ (h[None, :] >> np.uint64(29))) * seeds[:, None]).min(axis=1).reshape(BANDS, ROWS)
-                    bands = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - 2**63 for i, x in enumerate(low)]
                 prompt_key = xxhash.xxh3_64_intdigest(" ".join(asked)) - 2**63
-                for col, x in zip(cols, (empty, copy, wrong, stated, tokens, bands, (kind or "").strip().lower(), form, said, prompt_key, *ending(answer), inner_items(answer))):
-                    col.append(x)
+                found.append((empty, copy, wrong, stated, opening, (kind or "").strip().lower(), form, said, prompt_key, state, unit, inner_items(answer)))
+            cols = list(zip(*found)) if found else [()] * 12
+            cols.insert(5, min_hashes(cols[4], seeds))
             types = [pa.bool_()] * 4 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
             names = ["empty", "copy", "wrong", "stated", "opening", "bands", "kind", "form", "echo", "prompt_key", "state", "unit", "items"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(c, t) for c, t in zip(cols, types))], [*batch.schema.names[:-3], *names])
@@ -255,29 +296,34 @@ def opening_links(nodes: DataFrame) -> DataFrame:
     of large bands, all that are not joined yet, and keeps one link of two components a tile.
     """
     banded = nodes.select("opening_key", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min("opening_key").alias("leader"), F.count("*").alias("members"))
-    led = banded.join(leaders, ["band", "value"])
-    pairs = led.where("leader <> opening_key").select(F.col("leader").alias("a"), F.col("opening_key").alias("b")).distinct()
+    leaders = banded.groupBy("band", "value").agg(F.min("opening_key").alias("leader"))
+    pairs = banded.join(leaders, ["band", "value"]).where("leader <> opening_key").select(F.col("leader").alias("a"), F.col("opening_key").alias("b")).distinct()
     sides = nodes.select("opening_key", "opening")
     both = pairs.join(sides.toDF("a", "oa"), "a").join(sides.toDF("b", "ob"), "b")
-    stars = cut(both.where(F.size(F.array_intersect("oa", "ob")) >= SIMILAR * F.size(F.array_union("oa", "ob"))).select("a", "b"))
+    shared = F.size(F.array_intersect("oa", "ob"))  # an opening has each word once
+    stars = cut(both.withColumn("shared", shared).where(F.col("shared") >= SIMILAR * (F.size("oa") + F.size("ob") - F.col("shared"))).select("a", "b"))
     known = components(stars).select(F.col("node").alias("opening_key"), "root")
-    labelled = nodes.select("opening_key", F.transform("opening", lambda w: F.xxhash64(w)).alias("words")).join(known, "opening_key", "left").withColumn("comp", F.coalesce("root", "opening_key")).drop("root")
-    mixed = led.select("band", "value", "members", "opening_key").join(labelled.select("opening_key", "comp"), "opening_key")
-    open_bands = mixed.groupBy("band", "value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("band", "value")
+    labelled = nodes.select("opening_key", "bands", F.transform("opening", lambda w: F.xxhash64(w)).alias("words")).join(known, "opening_key", "left").withColumn("comp", F.coalesce("root", "opening_key")).drop("root")
+    mixed = labelled.select("opening_key", "comp", F.posexplode("bands").alias("band", "value"))
+    open_bands = mixed.groupBy("band", "value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("members")).where("_low <> _high").select("band", "value", "members")
     chunks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
-    tiled = mixed.join(open_bands, ["band", "value"], "left_semi").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("opening_key"), F.col("chunks")).cast("int"))
+    tiled = mixed.join(open_bands, ["band", "value"]).withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("opening_key"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("tile", F.least("side", "other") * F.col("chunks") + F.greatest("side", "other"))
     posted = tiled.select("band", "value", "tile", "opening_key", "comp").join(labelled.select("opening_key", "words"), "opening_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, found = None, [], []
         for batch in batches:
-            for *key, node, comp, words in zip(*(batch.column(c).to_pylist() for c in ("band", "value", "tile", "opening_key", "comp", "words"))):
-                if key != group:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "value", "tile")], axis=1)
+            node, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("opening_key", "comp"))
+            at, flat = batch.column("words").offsets.to_numpy(), batch.column("words").values.to_numpy(zero_copy_only=False)
+            size = np.diff(at)
+            bounds = [*np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist(), len(keys)] if len(keys) else []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if (key := tuple(keys[lo].tolist())) != group:
                     found += _between(held)
                     group, held = key, []
-                held.append((node, comp, words))
+                held.append((node[lo:hi], comp[lo:hi], size[lo:hi], flat[at[lo] : at[hi]]))
             yield links(found)
             found = []
         yield links(_between(held))
@@ -289,17 +335,18 @@ def opening_links(nodes: DataFrame) -> DataFrame:
     return stars.unionByName(posted.repartition("band", "value", "tile").sortWithinPartitions("band", "value", "tile").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def _between(held: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
-    """One pair of similar (node, component, words) for each two components that have one."""
-    if len({comp for _, comp, _ in held}) < 2:
+def _between(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """One pair of similar openings for each two components that have one; of parts (nodes, components, numbers of words, words)."""
+    if not held:
+        return []
+    node, comp, count, words = (np.concatenate(x) for x in zip(*held))
+    if (comp == comp[0]).all():
         return []
-    ids: dict[int, int] = {}
-    has = np.zeros((len(held), len({w for *_, words in held for w in words})), np.float32)
-    for i, (*_, words) in enumerate(held):
-        has[i, [ids.setdefault(w, len(ids)) for w in words]] = 1
-    node, comp = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
+    known, col = np.unique(words, return_inverse=True)
+    has = np.zeros((len(node), len(known)), np.float32)
+    has[np.repeat(np.arange(len(node)), count), col] = 1
     size, found = has.sum(axis=1), {}
-    for lo in range(0, len(held), 512):
+    for lo in range(0, len(node), 512):
         both = has[lo : lo + 512] @ has.T
         near = (both >= SIMILAR * (size[lo : lo + 512, None] + size[None, :] - both).astype(np.float64)) & (comp[lo : lo + 512, None] < comp[None, :])
         for i, j in zip(*np.nonzero(near)):
